@@ -1,0 +1,66 @@
+"""Registered queries of the operators for training data, and SQL where SQL can express them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cairn.llm import bpe, leakage, splitting, survivorship
+from cairn.session import load_table
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivorship.resolve_metadata(load_table(spark, sf_dir, "metadata_conflicts"), load_table(spark, sf_dir, "metadata_sources"))
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = load_table(spark, sf_dir, "chunk_requests")
+    return splitting.split_pieces(requests, "request_id", "text", F.col("params.max_chunk_tokens"), F.col("params.overlap_tokens"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that had to be cut: those with a second piece."""
+    return _pieces(spark, sf_dir).filter("piece_no = 2").select("request_id")
+
+
+def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pieces(spark, sf_dir)
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(load_table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+
+SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TOKENS = SPACE.replace("[", "[^", 1)
+
+SQL = {
+    "p7_found": f"""
+        SELECT request_id FROM chunk_requests
+        WHERE len(regexp_extract_all(text, '{TOKENS}+')) > CASE WHEN params.max_chunk_tokens > 0 THEN params.max_chunk_tokens ELSE 400 END""",
+    "p2_found": f"""
+        WITH long AS (SELECT document_id, field_name, observed_at, unnest(candidates) AS c FROM metadata_conflicts),
+        clean AS (
+          SELECT document_id, field_name, observed_at, c.source AS source, lower(regexp_replace(c.confidence, '^{SPACE}+|{SPACE}+$', '', 'g')) AS conf,
+                 trim(regexp_replace(c.value, '{SPACE}+', ' ', 'g')) AS value FROM long),
+        usable AS (
+          SELECT u.*, s.source_rank AS r, regexp_replace(value, '(?:{SPACE}*(?:\\x{{2026}}|\\.(?:{SPACE}?\\.){{2,}}|[\\[(]{SPACE}*(?:\\x{{2026}}|\\.{{2,}}){SPACE}*[\\])]|\\x{{22ef}}))+{SPACE}*$', '') AS stem
+          FROM clean u LEFT JOIN metadata_sources s USING (field_name, source)
+          WHERE regexp_matches(value, '[\\p{{L}}\\p{{N}}]') AND lower(value) NOT IN ({', '.join("'" + x + "'" for x in survivorship.STAND_INS)})),
+        ranked AS (
+          SELECT *, row_number() OVER (PARTITION BY document_id, field_name ORDER BY
+            CASE conf WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END, r NULLS LAST, observed_at DESC NULLS LAST, length(value) DESC, value) AS n FROM usable),
+        best AS (SELECT document_id, field_name, value, stem FROM ranked WHERE n = 1),
+        whole AS (
+          SELECT b.document_id, b.field_name, u.value, row_number() OVER (PARTITION BY b.document_id, b.field_name ORDER BY length(u.stem) DESC, u.stem = u.value DESC, u.value) AS n
+          FROM best b JOIN usable u ON u.document_id = b.document_id AND u.field_name = b.field_name
+          WHERE b.stem <> '' AND length(u.stem) > length(b.stem) AND starts_with(u.stem, b.stem))
+        SELECT b.document_id, b.field_name, coalesce(w.value, b.value) AS value
+        FROM best b LEFT JOIN whole w ON w.document_id = b.document_id AND w.field_name = b.field_name AND w.n = 1""",
+}
