@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, leakage, splitting, survivorship
+from cairn.llm import bpe, leakage, neardup, splitting, survivorship
 from cairn.session import load_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of one table whose three-word sequences have at least half of their union in common."""
+    parts = []
+    for table, key, text in (("passages", "passage_id", "text"), ("page_cache", "record_id", "markdown")):
+        pairs = neardup.near_duplicate_pairs(load_table(spark, sf_dir, table), key, text, n=3, threshold=0.5)
+        parts.append(pairs.select(F.lit(table).alias("table_name"), "a_id", "b_id"))
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.resolve_metadata(load_table(spark, sf_dir, "metadata_conflicts"), load_table(spark, sf_dir, "metadata_sources"))
 
@@ -35,7 +44,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKENS = SPACE.replace("[", "[^", 1)
