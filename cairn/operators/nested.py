@@ -243,3 +243,22 @@ def crawl_fields(df: DataFrame, id_col: str = "crawl_id", json_col: str = "paylo
             F.col("c.val").alias("val"),
         )
     )
+
+
+def crawl_bodies(df: DataFrame, id_col: str = "crawl_id", json_col: str = "payload") -> DataFrame:
+    """id, result_pos and ``body`` of every result that has one: markdown.fit_markdown, or markdown if that is a string."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, payload in zip(batch["_id"], batch["_json"], strict=True):
+                value = unwrap(decode(payload), "results")
+                for k, result in enumerate(value["results"] if value is not None else ()):
+                    markdown = result.get("markdown") if isinstance(result, dict) else None
+                    body = markdown.get("fit_markdown") if isinstance(markdown, dict) else markdown
+                    if isinstance(body, str):
+                        rows.append((key, k, body))
+            yield pd.DataFrame(rows, columns=[id_col, "result_pos", "body"])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("result_pos", T.IntegerType()), T.StructField("body", T.StringType())])
+    return df.select(F.col(id_col).alias("_id"), F.col(json_col).alias("_json")).mapInPandas(run, schema)
