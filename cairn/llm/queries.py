@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, leakage, neardup, splitting, survivorship
+from cairn.llm import bpe, leakage, maincontent, neardup, residue, splitting, survivorship
+from cairn.operators.nested import crawl_bodies
 from cairn.session import load_table
 
 
@@ -22,6 +23,32 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.resolve_metadata(load_table(spark, sf_dir, "metadata_conflicts"), load_table(spark, sf_dir, "metadata_sources"))
 
 
+def _residue_bodies(spark: SparkSession, sf_dir: str, model: tuple) -> DataFrame:
+    return residue.residue_cases(crawl_bodies(load_table(spark, sf_dir, "crawl_results")), ["crawl_id", "result_pos"], "body", *model)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the article in markdown, raw_html and crawl bodies; bodies that are residue (p5) have none."""
+    pages = load_table(spark, sf_dir, "page_cache")
+    parts = []
+    for name, html in (("markdown", False), ("raw_html", True)):
+        lines = maincontent.extract_lines(pages, ["record_id"], name, html)
+        parts.append(lines.select(F.lit(name).alias("field_name"), F.col("record_id").alias("row_id"), F.lit(0).alias("result_pos"), "line_no"))
+    cases = _residue_bodies(spark, sf_dir, residue.train(load_table(spark, sf_dir, "evidence_quality")))
+    lines = maincontent.extract_lines(crawl_bodies(load_table(spark, sf_dir, "crawl_results")), ["crawl_id", "result_pos"], "body", False)
+    lines = lines.join(cases, ["crawl_id", "result_pos"], "left_anti")
+    parts.append(lines.select(F.lit("fit_markdown").alias("field_name"), F.col("crawl_id").alias("row_id"), "result_pos", "line_no"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = load_table(spark, sf_dir, "evidence_quality")
+    model = residue.train(evidence)
+    own = residue.residue_cases(evidence, ["item_id"], "text", *model).select(F.lit("evidence_quality").alias("table_name"), F.col("item_id").alias("row_id"), F.lit(0).alias("result_pos"))
+    bodies = _residue_bodies(spark, sf_dir, model).select(F.lit("crawl_results").alias("table_name"), F.col("crawl_id").alias("row_id"), "result_pos")
+    return own.unionByName(bodies)
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = load_table(spark, sf_dir, "chunk_requests")
     return splitting.split_pieces(requests, "request_id", "text", F.col("params.max_chunk_tokens"), F.col("params.overlap_tokens"))
@@ -44,7 +71,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
 
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKENS = SPACE.replace("[", "[^", 1)
