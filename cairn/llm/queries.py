@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, leakage, maincontent, neardup, residue, splitting, survivorship
+from cairn.llm import bpe, leakage, maincontent, neardup, residue, splitting, survivorship, toxicity
 from cairn.operators.nested import crawl_bodies
 from cairn.session import load_table
 
@@ -71,7 +71,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found}
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).filter("flagged").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.rates_by_source(p10_scores(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKENS = SPACE.replace("[", "[^", 1)
