@@ -5,9 +5,11 @@
 2. Prefix scan: each representative's n-grams are ordered rarest first (sketch count, then hash). A pair at or above the
    threshold shares an n-gram within both prefixes, so only prefix n-grams are joined. N-grams that the sketch proves
    unique are left out, as they meet nothing. The join applies the length filter and the positional filter.
-3. Candidates are made distinct, so that a pair is verified once. A parity bitmap of each set bounds the symmetric
-   difference from below; pairs beyond what the threshold allows go (a suffix filter over hashed parts of the sets).
-4. The sets of what is left are read again and verified exactly.
+3. A pair at or above the threshold that needs ``o`` common n-grams shares at least ``least`` of them within prefixes
+   that are longer by ``least - 1``. Joined rows are counted per pair, and pairs with fewer are dropped; this also makes
+   the candidates distinct, so that a pair is verified once.
+4. The sets of what is left are read again; a suffix filter (sizes of the parts of both sets between fixed pivots) drops
+   pairs whose parts differ too much, the rest is verified exactly.
 
 Nothing unbounded is collected or broadcast: the sketch and the bitmap of surviving ids have fixed sizes. Hot n-grams are
 rows of a sort-merge join, which adaptive execution splits.
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 from cairn.session import checkpoint
 from cairn.text import WordIds, rolling, words
 
-BUCKETS, PART = 1 << 23, 1 << 17
+BUCKETS, PART = 1 << 22, 1 << 17
+LEAST = 4  # n-grams that a candidate pair must share within the prefixes
 ID_BITS = 1 << 23
 EXPAND = 4096  # pairs of copies up to which a pair of classes is written out in full
 
@@ -52,24 +55,13 @@ def needed(a: int, b: int, threshold: float) -> int:
     return math.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
-def parity(grams: np.ndarray) -> bytes:
-    """Bitmap of the parity of each hashed part of a set; its length is a power of two, at least 256 bits."""
-    bits = 256
-    while bits < 1.5 * len(grams):
-        bits *= 2
-    counts = np.bincount((grams >> np.uint64(11)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    return np.packbits(counts.astype(np.uint8), bitorder="little").tobytes()
+PIVOTS = np.linspace(0, 2**64 - 1, 18)[1:-1].astype(np.uint64)
 
 
-def parity_distance(a: bytes, b: bytes) -> int:
-    """Lower bound of the symmetric difference of two sets, from their parity bitmaps."""
-    if len(a) < len(b):
-        a, b = b, a
-    x, size = int.from_bytes(a, "little"), len(a)
-    while size > len(b):  # halves of the longer bitmap are added up
-        size //= 2
-        x = (x >> (8 * size)) ^ (x & ((1 << (8 * size)) - 1))
-    return (x ^ int.from_bytes(b, "little")).bit_count()
+def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """Lower bound of the symmetric difference of two sorted sets, from the sizes of their parts between the pivots."""
+    a, b = np.diff(np.searchsorted(x, PIVOTS), prepend=0, append=len(x)), np.diff(np.searchsorted(y, PIVOTS), prepend=0, append=len(y))
+    return int(np.abs(a - b).sum()) if len(a) == len(b) else 0
 
 
 def _signatures(df: DataFrame, n: int, buckets: int) -> DataFrame:
@@ -115,8 +107,8 @@ def _sketch(signatures: DataFrame, buckets: int) -> np.ndarray:
     return sketch
 
 
-def _prefixes(df: DataFrame, n: int, threshold: float, sketch: np.ndarray) -> DataFrame:
-    """id, size, parity bitmap, positions and hashes of the prefix n-grams that are not proven unique."""
+def _prefixes(df: DataFrame, n: int, threshold: float, least: int, sketch: np.ndarray) -> DataFrame:
+    """gram, id, place (set size and position) of the prefix n-grams that are not proven unique."""
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,56 +116,36 @@ def _prefixes(df: DataFrame, n: int, threshold: float, sketch: np.ndarray) -> Da
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         for batch in batches:
-            keys, sizes, bitmaps, at, hashes = [], [], [], [], []
+            owners, places, hashes = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = ngrams(text, n, ids)
                 if not len(grams) or key is None:
                     continue
                 freq = counts[(grams & mask).astype(np.int64)]
-                order = np.lexsort((grams, freq))[: prefix_length(len(grams), threshold)]
+                order = np.lexsort((grams, freq))[: prefix_length(len(grams), threshold) + least - 1]
                 kept = np.flatnonzero(freq[order] > 1)
-                keys.append(key)
-                sizes.append(len(grams))
-                bitmaps.append(parity(grams))
-                at.append(kept.astype(np.int32))
+                owners.append(np.full(len(kept), key, dtype=np.int64))
+                places.append(kept + (len(grams) << 32))
                 hashes.append(grams[order[kept]].view(np.int64))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32))
-            flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bitmaps, pa.binary()), pa.ListArray.from_arrays(offsets, flat(at, np.int32)), pa.ListArray.from_arrays(offsets, flat(hashes, np.int64))],
-                names=["id", "size", "bitmap", "at", "grams"],
-            )
+            flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
+            yield pa.RecordBatch.from_arrays([flat(hashes), flat(owners), flat(places)], names=["gram", "id", "place"])
 
-    return df.mapInArrow(scan, "id long, size int, bitmap binary, at array<int>, grams array<long>")
+    return df.mapInArrow(scan, "gram long, id long, place long")
 
 
-def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+def _candidates(rows: DataFrame, threshold: float, least: int) -> DataFrame:
     """Distinct pairs (a the larger set) that pass the prefix, length and positional filters."""
-    rows = prefixes.select("id", "size", F.explode(F.arrays_zip("grams", "at")).alias("g")).select(F.col("g.grams").alias("gram"), "id", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("g.at")).alias("place"))
     a = rows.select("gram", F.col("id").alias("a"), F.col("place").alias("pa"))
-    b = rows.select("gram", F.col("id").alias("b"), F.col("place").alias("pb"))
+    b = rows.select(F.col("gram").alias("_g"), F.col("id").alias("b"), F.col("place").alias("pb"))
     size = lambda p: F.shiftright(F.col(p), 32)
     left = lambda p: size(p) - F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))
     larger = (size("pa") > size("pb")) | ((size("pa") == size("pb")) & (F.col("a") > F.col("b")))
     length = size("pb") >= F.ceil(size("pa") * F.lit(threshold) - F.lit(1e-9))
-    positional = F.least(left("pa"), left("pb")) >= F.ceil((size("pa") + size("pb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    met = a.join(b.withColumnRenamed("gram", "_g"), (F.col("gram") == F.col("_g")) & larger & length & positional)
-    return met.select("a", "b").distinct()
-
-
-def _close(candidates: DataFrame, prefixes: DataFrame, threshold: float) -> DataFrame:
-    """Candidates whose bitmaps do not rule them out."""
-    sets = prefixes.select("id", "size", "bitmap")
-    pairs = candidates.join(sets.select(F.col("id").alias("b"), F.col("size").alias("nb"), F.col("bitmap").alias("mb")), "b")
-    pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("size").alias("na"), F.col("bitmap").alias("ma")), "a")
-
-    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb, ma, mb = (c.to_pylist() for c in batch.columns)
-            keep = [k for k in range(len(a)) if parity_distance(ma[k], mb[k]) <= na[k] + nb[k] - 2 * needed(na[k], nb[k], threshold)]
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
-
-    return pairs.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(test, "a long, b long")
+    common = F.ceil((size("pa") + size("pb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
+    bound = F.least(F.lit(least), common)
+    positional = F.least(left("pa"), left("pb")) + bound - 1 >= common
+    met = a.join(b, (F.col("gram") == F.col("_g")) & larger & length & positional)
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(bound).alias("least")).filter("n >= least").select("a", "b")
 
 
 def _id_bits(pairs: DataFrame) -> np.ndarray:
@@ -221,6 +193,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             out = []
             for k in range(len(a)):
                 x, y = np.frombuffer(ga[k], dtype=np.uint64), np.frombuffer(gb[k], dtype=np.uint64)
+                if suffix_bound(x, y) > len(x) + len(y) - 2 * needed(len(x), len(y), threshold):
+                    continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if common >= threshold * (len(x) + len(y) - common) - 1e-9:
                     out.append((a[k], b[k], common / (len(x) + len(y) - common)))
@@ -229,7 +203,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, least: int = LEAST, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives with their similarity, membership id -> representative with the class size)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     signatures = checkpoint(_signatures(texts, n, buckets))
@@ -239,8 +213,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     members = records.join(classes, "digest").select("id", "rep", "copies").distinct()
     copies = members.filter("id <> rep").select("id")
     singles = texts.join(copies, "id", "left_anti").select("id", "text")
-    prefixes = checkpoint(_prefixes(singles, n, threshold, sketch))
-    close = checkpoint(_close(_candidates(prefixes, threshold), prefixes, threshold))
+    close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, sketch), threshold, least))
     return _verify(close, _sets(texts, n, _id_bits(close)), threshold), members
 
 
