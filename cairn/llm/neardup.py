@@ -11,8 +11,8 @@
 4. The sets of what is left are read again; a suffix filter (sizes of the parts of both sets between fixed pivots) drops
    pairs whose parts differ too much, the rest is verified exactly.
 
-Nothing unbounded is collected or broadcast: the sketch and the bitmap of surviving ids have fixed sizes. Hot n-grams are
-rows of a sort-merge join, which adaptive execution splits.
+Nothing unbounded is collected or broadcast: the sketch and the bitmap of surviving ids have fixed sizes, the ids of
+copies are broadcast only after a count. Hot n-grams are spread over pairs of blocks of their records.
 
 Defined results: null texts and texts with fewer words than ``n`` have no set and no partner; a record is no partner of
 itself; repeated ids count as one record; equal sets are copies with similarity 1; case, punctuation and spacing do not
@@ -32,10 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.session import checkpoint
+from cairn.session import BROADCAST_ROWS, checkpoint
 from cairn.text import WordIds, rolling, words
 
 BUCKETS, PART = 1 << 22, 1 << 17
+SPLIT = 512  # records of one n-gram that may meet in one group
 LEAST = 4  # n-grams that a candidate pair must share within the prefixes
 ID_BITS = 1 << 23
 EXPAND = 4096  # pairs of copies up to which a pair of classes is written out in full
@@ -91,24 +92,29 @@ def _signatures(df: DataFrame, n: int, buckets: int) -> DataFrame:
 
 
 def _sketch(signatures: DataFrame, buckets: int) -> np.ndarray:
-    """Sum of the tasks' sketches, cut off at 65535; of a fixed size whatever the input."""
+    """Sum of the tasks' sketches, of a fixed size whatever the input."""
     part = min(PART, buckets)
 
     def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, dtype=np.int64)
         for blob in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(blob), dtype=np.int32)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)]})
+        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
 
-    sketch = np.zeros(buckets, dtype=np.uint16)
+    sketch = np.zeros(buckets, dtype=np.uint32)
     rows = signatures.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary")
     for row in rows.toLocalIterator():
-        sketch[row.part * part : (row.part + 1) * part] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint16)
+        sketch[row.part * part : (row.part + 1) * part] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
     return sketch
 
 
-def _prefixes(df: DataFrame, n: int, threshold: float, least: int, sketch: np.ndarray) -> DataFrame:
-    """gram, id, place (set size and position) of the prefix n-grams that are not proven unique."""
+def _prefixes(df: DataFrame, n: int, threshold: float, least: int, split: int, sketch: np.ndarray) -> DataFrame:
+    """key, id, place of the prefix n-grams that are not proven unique.
+
+    An n-gram that the sketch counts more than ``split`` times is spread over blocks of its records: each row then goes
+    to every pair of blocks its own is part of, so no group of equal keys is large and every pair still meets once.
+    ``place`` holds the set size, the position and, for pairs of two different blocks, the side.
+    """
     shared = df.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,36 +122,79 @@ def _prefixes(df: DataFrame, n: int, threshold: float, least: int, sketch: np.nd
         counts = shared.value
         mask = np.uint64(len(counts) - 1)
         for batch in batches:
-            owners, places, hashes = [], [], []
+            owners, places, keys = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grams = ngrams(text, n, ids)
                 if not len(grams) or key is None:
                     continue
                 freq = counts[(grams & mask).astype(np.int64)]
                 order = np.lexsort((grams, freq))[: prefix_length(len(grams), threshold) + least - 1]
-                kept = np.flatnonzero(freq[order] > 1)
+                kept = np.flatnonzero((freq[order] > 1) & (freq[order] <= split))
                 owners.append(np.full(len(kept), key, dtype=np.int64))
                 places.append(kept + (len(grams) << 32))
-                hashes.append(grams[order[kept]].view(np.int64))
+                keys.append(grams[order[kept]].view(np.int64))
+                for at in np.flatnonzero(freq[order] > split).tolist():
+                    gram, blocks = int(grams[order[at]]), -(-int(freq[order[at]]) // split)
+                    own = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True), gram) % blocks
+                    pair = [(min(own, b), max(own, b)) for b in range(blocks)]
+                    hashed = [xxhash.xxh3_64_intdigest(f"{x},{y}", gram) for x, y in pair]
+                    side = [0 if x == y else 1 if own == x else 2 for x, y in pair]
+                    owners.append(np.full(blocks, key, dtype=np.int64))
+                    places.append(at + (len(grams) << 32) + (np.array(side, dtype=np.int64) << 60))
+                    keys.append(np.array(hashed, dtype=np.uint64).view(np.int64))
             flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([flat(hashes), flat(owners), flat(places)], names=["gram", "id", "place"])
-
-    return df.mapInArrow(scan, "gram long, id long, place long")
+            yield pa.RecordBatch.from_arrays([flat(keys), flat(owners), flat(places)], names=["key", "id", "place"])
+
+    return df.mapInArrow(scan, "key long, id long, place long")
+
+
+def _met_pairs(key: np.ndarray, owner: np.ndarray, place: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows with equal keys (sorted) that pass the length and positional filters: larger set, smaller, least."""
+    side, size, position = place >> 60, (place >> 32) & 0xFFFFFFF, place & 0xFFFFFFFF
+    rest = size - position
+    found, at, step = [], np.arange(len(key)), 0
+    while True:
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        if not len(at):
+            break
+        x, y = at, at + step
+        swap = (size[x] < size[y]) | ((size[x] == size[y]) & (owner[x] < owner[y]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        common = np.ceil(threshold / (1 + threshold) * (size[x] + size[y]) - 1e-9).astype(np.int64)
+        bound = np.minimum(least, common)
+        ok = ((side[x] == 0) | (side[x] != side[y])) & (owner[x] != owner[y]) & (size[y] >= np.ceil(threshold * size[x] - 1e-9)) & (np.minimum(rest[x], rest[y]) + bound - 1 >= common)
+        found.append((owner[x[ok]], owner[y[ok]], bound[ok]))
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))  # type: ignore[return-value]
 
 
 def _candidates(rows: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Distinct pairs (a the larger set) that pass the prefix, length and positional filters."""
-    a = rows.select("gram", F.col("id").alias("a"), F.col("place").alias("pa"))
-    b = rows.select(F.col("gram").alias("_g"), F.col("id").alias("b"), F.col("place").alias("pb"))
-    size = lambda p: F.shiftright(F.col(p), 32)
-    left = lambda p: size(p) - F.col(p).bitwiseAND(F.lit(0xFFFFFFFF))
-    larger = (size("pa") > size("pb")) | ((size("pa") == size("pb")) & (F.col("a") > F.col("b")))
-    length = size("pb") >= F.ceil(size("pa") * F.lit(threshold) - F.lit(1e-9))
-    common = F.ceil((size("pa") + size("pb")) * F.lit(threshold / (1 + threshold)) - F.lit(1e-9))
-    bound = F.least(F.lit(least), common)
-    positional = F.least(left("pa"), left("pb")) + bound - 1 >= common
-    met = a.join(b, (F.col("gram") == F.col("_g")) & larger & length & positional)
-    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(bound).alias("least")).filter("n >= least").select("a", "b")
+    """Distinct pairs (a the larger set) that share enough n-grams within their prefixes. One shuffle of the rows."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * 3  # the last group of equal keys may go on in the next batch
+        for batch in batches_with_end(batches):
+            if batch is None:
+                part, kept = kept, [np.empty(0, np.int64)] * 3
+            else:
+                part = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True)]
+                cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
+                kept, part = [p[cut:] for p in part], [p[:cut] for p in part]
+            a, b, bound = _met_pairs(*part, threshold, least)
+            for k in range(0, len(a), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (a, b, bound.astype(np.int32))], names=["a", "b", "bound"])
+
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
+    met = sorted_rows.mapInArrow(meet, "a long, b long, bound int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("bound").alias("least")).filter("n >= least").select("a", "b")
+
+
+def batches_with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _id_bits(pairs: DataFrame) -> np.ndarray:
@@ -203,7 +252,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, least: int = LEAST, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, least: int = LEAST, split: int = SPLIT, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives with their similarity, membership id -> representative with the class size)."""
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     signatures = checkpoint(_signatures(texts, n, buckets))
@@ -212,8 +261,10 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     classes = records.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     members = records.join(classes, "digest").select("id", "rep", "copies").distinct()
     copies = members.filter("id <> rep").select("id")
+    if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     singles = texts.join(copies, "id", "left_anti").select("id", "text")
-    close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, sketch), threshold, least))
+    close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, split, sketch), threshold, least))
     return _verify(close, _sets(texts, n, _id_bits(close)), threshold), members
 
 
