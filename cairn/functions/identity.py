@@ -12,8 +12,6 @@ def _bytes(text: Column) -> Column:
     return F.encode(text, "UTF-8")
 
 
-ZERO = F.unhex
-
 
 def source_hash(markdown: Column) -> Column:
     return F.sha2(markdown, 256)
@@ -50,7 +48,7 @@ def jitter(host: Column, most: float) -> Column:
 def cursor(job: Column, after: Column) -> Column:
     """URL-safe base64 of a JSON cursor."""
     raw = F.to_json(F.struct(F.lit(1).alias("v"), job.alias("job"), after.alias("after")))
-    return F.rtrim(F.translate(F.base64(F.encode(raw, "UTF-8")), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(F.base64(F.encode(raw, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
 def read_cursor(text: Column) -> Column:

@@ -270,7 +270,8 @@ def host_schedule(t):
 
 @query()
 def version_diffs(t):
-    return pages.version_diffs(t.page_cache.filter("markdown IS NOT NULL"), "url_identity", "fetched_at", "record_id", "markdown").select("url_identity", "record_id", "truncated", "n_previous", "n_current", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
+    versions = t.page_cache.filter("markdown IS NOT NULL").withColumn("article", F.concat_ws(" ", "host", "title"))
+    return pages.version_diffs(versions, "article", "fetched_at", "record_id", "markdown").select("article", "record_id", "truncated", "n_previous", "n_current", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
 
 @query("""SELECT p.record_id, p.url_identity, d.result_id FROM page_cache p JOIN (SELECT url, min(result_id) AS result_id FROM discovery_results GROUP BY url) d ON d.url = p.requested_url""")
