@@ -34,7 +34,7 @@ def word_count(text: Column) -> Column:
 
 def cut_words(text: Column, n: Column) -> Column:
     """The first ``n`` words with the text between them."""
-    return F.regexp_extract(text, F.concat(F.lit(r"^(\s*(?:\S+\s+){0,"), F.greatest(n - 1, F.lit(0)).cast("string"), F.lit(r"}\S+)")), F.lit(1))
+    return F.call_function("regexp_extract", text, F.concat(F.lit(r"^(\s*(?:\S+\s+){0,"), F.greatest(n - 1, F.lit(0)).cast("string"), F.lit(r"}\S+)")), F.lit(1))
 
 
 def strict_instant(value: Column) -> Column:
