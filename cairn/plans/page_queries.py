@@ -47,7 +47,7 @@ def metadata_select(t):
 
 
 @query("""WITH a AS (SELECT host, ('0x' || md5(host)[1:2])::INT AS b FROM hosts)
-  SELECT result_id FROM discovery_results r JOIN a ON a.host = regexp_extract(r.url, '^https?://([^/:?#]*)', 1) WHERE b NOT IN (0, 10, 127) AND b < 224""")
+  SELECT result_id FROM discovery_results r JOIN a ON a.host = lower(regexp_extract(r.url, '(?i)^https?://([^/:?#]*)', 1)) WHERE b NOT IN (0, 10, 127) AND b < 224""")
 def url_safety(t):
     first = F.conv(F.substring(F.md5("host"), 1, 2), 16, 10)
     addresses = t.hosts.select("host", F.concat(first, F.lit(".20.30.40")).alias("ip"))
