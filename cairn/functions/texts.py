@@ -51,5 +51,7 @@ def retry_after(value: Column, now: Column, most: int) -> Column:
     """Seconds to wait: a number, or an HTTP date against ``now``; at most ``most``."""
     v = F.trim(value)
     seconds = F.when(v.rlike(r"^\d{1,9}$"), v.cast("long"))
-    until = F.greatest(F.lit(0).cast("long"), F.unix_timestamp(strict_instant(v)) - F.unix_timestamp(now))
-    return F.least(F.coalesce(seconds, until), F.lit(most).cast("long"))
+    at = strict_instant(v)
+    until = F.when(at.isNotNull(), F.greatest(F.lit(0).cast("long"), F.unix_timestamp(at) - F.unix_timestamp(now)))
+    delay = F.coalesce(seconds, until)
+    return F.when(delay.isNotNull(), F.least(delay, F.lit(most).cast("long")))

@@ -21,7 +21,7 @@ def normal_hits(hits: DataFrame, rank: Column) -> DataFrame:
 
     Adds ``contributions``: engine and position pairs, the first of each engine.
     """
-    engines = F.slice(F.filter(F.transform(F.coalesce("engines", F.array().cast("array<string>")), F.trim), lambda e: e != ""), 1, MAX_ENGINES)
+    engines = F.slice(F.filter(F.transform(F.coalesce("engines", F.array().cast("array<string>")), lambda e: F.trim(e)), lambda e: e != ""), 1, MAX_ENGINES)
     named = hits.filter(F.coalesce(F.trim("url"), F.lit("")) != "").withColumn("_engines", engines)
     engine = F.coalesce(F.when(F.trim("engine") != "", F.trim("engine")), F.try_element_at("_engines", F.lit(1)))
     score = F.when((F.col("score") > 0) & ~F.isnan("score"), F.col("score")).otherwise(1.0 / (rank + 1))

@@ -209,21 +209,22 @@ def metadata(tree: Node, base: str) -> list[tuple[str, str, str]]:
     return out
 
 
-CSS = re.compile(r"^(?P<tag>[a-z][a-z0-9-]*|\*)?(?P<id>#[\w-]+)?(?P<classes>(?:\.[\w-]+)*)(?P<attrs>(?:\[[\w-]+(?:=\"[^\"]*\"|='[^']*'|=[\w-]+)?\])*)$", re.I)
+CSS = re.compile(r"(?:[a-z][a-z0-9-]*|\*)?(?:#[\w-]+|\.[\w-]+|\[[\w-]+(?:=(?:\"[^\"]*\"|'[^']*'|[\w-]+))?\])*", re.I)
 
 
 def locate(tree: Node, css: str | None = None, role: str | None = None, name: str | None = None, text: str | None = None, section: str | None = None) -> tuple[str, str | None, dict]:
     """(state, text, attributes) of the one element meant: by compound selector, role and name, or text in a section."""
     nodes = [n for n in tree.walk() if n.tag and not n.hidden]
     if css is not None:
-        m = CSS.match(css.strip())
-        if not m or not css.strip():
+        css = css.strip()
+        if not css or not CSS.fullmatch(css):
             return "unsupported", None, {}
-        classes = m["classes"].split(".")[1:]
-        attrs = [a.partition("=") for a in re.findall(r"\[([^\]]*)\]", m["attrs"])]
+        attrs = [a.partition("=") for a in re.findall(r"\[([^\]]*)\]", css)]
+        bare = re.sub(r"\[[^\]]*\]", "", css)
+        tag, ids, classes = re.match(r"[\w*-]*", bare).group().lower(), re.findall(r"#([\w-]+)", bare), re.findall(r"\.([\w-]+)", bare)
         hits = [
             n for n in nodes
-            if m["tag"] in (None, "*", n.tag) and (not m["id"] or n.attrs.get("id") == m["id"][1:]) and set(classes) <= set(n.attrs.get("class", "").split())
+            if tag in ("", "*", n.tag) and all(n.attrs.get("id") == i for i in ids) and set(classes) <= set(n.attrs.get("class", "").split())
             and all(k in n.attrs and (not eq or n.attrs[k] == v.strip("\"'")) for k, eq, v in attrs)
         ]
     elif role is not None:

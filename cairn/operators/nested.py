@@ -187,7 +187,8 @@ def shred(df: DataFrame, id_col: str, json_col: str, plan: TablePlan, root: str
                         if len(rows) >= 20_000:
                             yield _frame(ids, rows)
                             ids, rows = [], []
-            yield _frame(ids, rows)
+            if rows:
+                yield _frame(ids, rows)
 
     def _frame(ids: list, rows: list) -> pd.DataFrame:
         return pd.DataFrame(
