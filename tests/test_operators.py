@@ -19,7 +19,7 @@ def test_hits(spark):
     rows = [(1, "q", "", "https://a.test/x", None, None, [" e ", "", "e", "f"], [3, None, 2, 0], 0.0), (2, "q", "t", " ", None, "e", None, None, 1.0), (3, "q", None, "https://a.test/x/", None, "g", [], [], None)]
     out = {r.result_id: r for r in hits(spark, rows).collect()}
     assert set(out) == {1, 3} and out[1].title == "https://a.test/x" and out[1].engine == "e" and out[1].score == 0.5
-    assert [tuple(c) for c in out[1].contributions] == [("e", 3), ("f", None)]
+    assert [tuple(c) for c in out[1].contributions] == [("e", 3), ("f", 2)]
     merged = discovery.merge_hits(hits(spark, rows), "result_id", "query_id").collect()
     assert len(merged) == 1 and merged[0].result_id == 1 and merged[0].n_contributions == 3
 
