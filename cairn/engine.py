@@ -11,6 +11,7 @@ from cairn.functions.identity import document_id, evidence_id
 from cairn.functions.texts import cut_words, word_count
 from cairn.functions.url import host, normalize_url
 from cairn.operators import chunking, discovery, pages, ranking
+from cairn.session import checkpoint
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,7 @@ def search(hits: DataFrame, page_cache: DataFrame, text: str, profile: Profile |
 
 def answer(bodies: DataFrame, text: str, p: Profile) -> tuple[DataFrame, DataFrame]:
     """(passages, citations) from a bounded set of pages: record_id, markdown, title, requested_url."""
+    bodies = checkpoint(bodies)  # read several times below; a few rows
     firsts = pages.first_copies(bodies, "markdown", "record_id").select("record_id")
     unique = bodies.join(firsts, "record_id", "left_semi")
     none = F.lit(None).cast("int")
