@@ -123,27 +123,32 @@ def choose(rows: Iterable[tuple], max_urls: int, per_host: int) -> dict[int, str
 def select_urls(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6, per_host: int | None = None) -> DataFrame:
     """The chosen hits of each query with the reason of their choice.
 
-    The greedy choice runs on a bounded share of each group that is proven to suffice: per host the first ``per_host``
-    rows; of these per engine the first ``max_urls * per_host + 1`` (at most so many can be blocked by full hosts), the
-    first of the first ``2 * max_urls`` hosts, and the first ``max_urls * (per_host + 1)`` overall.
+    Without ``per_host``, a query whose hits lie on one host may take ``max_urls`` from it, others ``domain_limit``.
+
+    The greedy choice runs on a bounded share of each group that holds every row it can choose, so leaving out the others
+    changes nothing. A row is chosen for a new engine only if all earlier rows with that engine are of a full host or a
+    chosen URL. Hence, counting each URL once per engine, it is among the first ``most`` of its host and engine, and of
+    these among the first ``max_urls * (most + 1)`` of its engine, ``most`` being all that one host may take. The same holds
+    for the choice by score with any engine (``_e`` null); one for a new host is the first row of one of the first
+    ``max_urls`` hosts. A URL has one host.
     """
     cap = per_host or domain_limit(max_urls)
+    most = per_host or max_urls
     order = [*candidate_order(), F.col(id_col)]
-    rows = hits.withColumn("_engines", F.array_distinct(F.array_compact(F.concat(F.transform("contributions", lambda c: c["engine"]), F.array("engine")))))
-    first_url = F.row_number().over(Window.partitionBy(group_col, "url").orderBy(*order))
-    rows = rows.withColumn("_u", first_url).filter("_u = 1")
-    rows = rows.withColumn("_in_host", F.row_number().over(Window.partitionBy(group_col, "host").orderBy(*order))).filter(F.col("_in_host") <= cap)
-    slim = rows.select(group_col, id_col, "url", "host", "_engines", "_in_host", "score", "lexical_score")
-    of_engine = F.row_number().over(Window.partitionBy(group_col, "_e").orderBy(*order))
-    near_engine = slim.select("*", F.explode_outer("_engines").alias("_e")).withColumn("_r", of_engine).filter(F.col("_r") <= max_urls * cap + 1).select(group_col, id_col)
-    near_host = slim.filter("_in_host = 1").withColumn("_r", F.row_number().over(Window.partitionBy(group_col).orderBy(*order))).filter(F.col("_r") <= 2 * max_urls).select(group_col, id_col)
-    near_top = slim.withColumn("_r", F.row_number().over(Window.partitionBy(group_col).orderBy(*order))).filter(F.col("_r") <= max_urls * (cap + 1)).select(group_col, id_col)
-    wanted = near_engine.unionByName(near_host).unionByName(near_top).distinct()
-    few = slim.join(wanted, [group_col, id_col], "left_semi")
+    first = lambda *keys: F.row_number().over(Window.partitionBy(group_col, *keys).orderBy(*order))
+    engines = F.array_distinct(F.array_compact(F.concat(F.transform("contributions", lambda c: c["engine"]), F.array("engine"))))
+    slim = hits.select(group_col, id_col, "url", "host", engines.alias("_engines"), "score", "lexical_score")
+    by_engine = slim.withColumn("_e", F.explode(F.concat(F.coalesce("_engines", F.array().cast("array<string>")), F.array(F.lit(None).cast("string")))))
+    by_engine = by_engine.withColumn("_u", first("host", "url", "_e")).filter("_u = 1").drop("_u")
+    of_host = by_engine.withColumn("_in_host", first("host", "_e")).filter(F.col("_in_host") <= most)
+    near = of_host.withColumn("_r", first("_e")).filter(F.col("_r") <= max_urls * (most + 1))
+    near_host = of_host.filter("_e IS NULL AND _in_host = 1").withColumn("_r", first()).filter(F.col("_r") <= 2 * max_urls)
+    few = near.unionByName(near_host).drop("_e", "_in_host", "_r").dropDuplicates([group_col, id_col])
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.assign(_k=-(pdf["score"] + 0.25 * pdf["lexical_score"]), _s=-pdf["score"]).sort_values(["_k", "_s", "url", id_col], kind="stable")
-        found = choose(((u, h, set(e)) for u, h, e in zip(pdf["url"], pdf["host"], pdf["_engines"], strict=True)), max_urls, cap)
+        limit = most if pdf["host"].nunique(dropna=False) == 1 else cap
+        found = choose(((u, h, set(() if e is None else e)) for u, h, e in zip(pdf["url"], pdf["host"], pdf["_engines"], strict=True)), max_urls, limit)
         out = pdf.iloc[list(found)][[group_col, id_col, "url", "host"]].copy()
         out["selection_reason"] = list(found.values())
         out["choice"] = range(1, len(out) + 1)

@@ -39,6 +39,42 @@ def test_selection_equals_full_scan(spark):
         assert [(i, x) for _, i, x in sorted(got[q])] == [(own[k].result_id, x) for k, x in picked.items()]
 
 
+def full_choice(rows, max_urls):
+    """The greedy choice over all rows of one query."""
+    own = sorted(rows, key=lambda r: (-(r.score + 0.25 * r.lexical_score), -r.score, r.url, r.result_id))
+    per_host = max_urls if len({r.host for r in own}) == 1 else discovery.domain_limit(max_urls)
+    picked = discovery.choose(((r.url, r.host, {c.engine for c in r.contributions} | ({r.engine} - {None})) for r in own), max_urls, per_host)
+    return [(own[k].result_id, x) for k, x in picked.items()]
+
+
+def chosen(df, max_urls=6):
+    got = {}
+    for r in discovery.select_urls(df, "query_id", "result_id", max_urls).collect():
+        got.setdefault(r.query_id, []).append((r.choice, r.result_id, r.selection_reason))
+    return {q: [(i, x) for _, i, x in sorted(rows)] for q, rows in got.items()}
+
+
+def test_selection_engine_below_host_cap(spark):
+    rows = [(k, "q", "x", f"https://a.test/{k}", "", None, ["a"], [], 0.9 - k / 100) for k in range(5)]
+    rows += [(9, "q", "x", "https://a.test/9", "", None, ["b"], [], 0.5), (10, "q", "x", "https://b.test/1", "", None, ["a"], [], 0.4)]
+    rows += [(20 + k, "one", "x", f"https://c.test/{k}", "", None, ["a"], [], 0.9 - k / 100) for k in range(8)]  # one host: no cap
+    rows += [(40, "url", "x", "https://d.test/1", "", None, ["a"], [], 0.9), (41, "url", "x", "https://e.test/1", "", None, ["a"], [], 0.8), (42, "url", "x", "https://e.test/1", "", None, ["b"], [], 0.7)]
+    got = chosen(hits(spark, rows))
+    assert got["q"] == [(0, "engine_diversity"), (9, "engine_diversity"), (10, "domain_diversity")]
+    assert got["one"] == [(20, "engine_diversity")] + [(k, "score") for k in range(21, 26)]
+    assert got["url"] == [(40, "engine_diversity"), (42, "engine_diversity")]
+
+
+def test_selection_equals_full_scan_of_table(spark):
+    table = discovery.normal_hits(spark.read.parquet("/root/testdata/sf0.1/discovery_results.parquet"), F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1)))
+    df = discovery.with_lexical(table, F.lit("weekly harbour report near the library")).select("query_id", "result_id", "url", "host", "engine", "contributions", "score", "lexical_score").cache()
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.query_id, []).append(r)
+    for max_urls in (6, 20):
+        assert chosen(df, max_urls) == {q: full_choice(rows, max_urls) for q, rows in groups.items()}
+
+
 def test_limits():
     assert [discovery.domain_limit(n) for n in (1, 2, 3, 6, 20)] == [1, 1, 1, 2, 3] and discovery.domain_limit(9, 1) == 9
 
