@@ -221,11 +221,14 @@ def crawl_fields(df: DataFrame, id_col: str = "crawl_id", json_col: str = "paylo
     """Internal link targets, titles and etags of crawl payloads, each tied to its crawl, result and position.
 
     Columns: id, result_pos, path, link_pos (-1 for title and etag), val. Only non-blank JSON strings give rows; results
-    that are not objects give none but count as positions.
+    that are not objects give none but count as positions. An array where a result, link, title, href or etag is expected
+    gives no row, and has no influence on the others: all paths on the way to a value are kept inlined.
     """
     links = "results[].links.internal"
-    plan = plan_tables(schema_graph(df, json_col, root="results"), inline=("results[].links", "results[].metadata", "results[].response_headers"))
-    plan.repeated |= {"results", links}
+    branches = ("results[]", "results[].links", "results[].metadata", "results[].metadata.title", "results[].response_headers")
+    plan = plan_tables(schema_graph(df, json_col, root="results"), inline=(*branches, f"{links}[]", f"{links}[].href", f"{links}.href"))
+    etags = {p for p in plan.repeated if p.startswith("results[].response_headers.") and p.lower() == "results[].response_headers.etag"}
+    plan.repeated = plan.repeated - etags | {"results", links}
     rows = shred(df, id_col, json_col, plan, root="results", tables=["results", links])
     cell = rows.select(id_col, "table_name", "pos", F.explode("cells").alias("c")).filter((F.col("c.kind") == "string") & not_blank(F.col("c.val")))
     path = (

@@ -20,6 +20,45 @@ def test_fields(spark):
     ]
 
 
+def brute_fields(payload):
+    """Rows of one payload, read straight from the definition."""
+    value = nested.decode(payload)
+    if not isinstance(value, dict):
+        return
+    results = value.get("results")
+    for k, r in enumerate(results if isinstance(results, list) else [value]):
+        branch = lambda name, r=r: r[name] if isinstance(r, dict) and isinstance(r.get(name), dict) else {}
+        internal = branch("links").get("internal")
+        for j, x in enumerate(internal if isinstance(internal, list) else [internal]):
+            yield k, "links.internal.href", j, x.get("href") if isinstance(x, dict) else x
+        yield k, "metadata.title", -1, branch("metadata").get("title")
+        for name, x in branch("response_headers").items():
+            if name.lower() == "etag":
+                yield k, "response_headers.etag", -1, x
+
+
+ODD = [
+    [[{"metadata": {"title": "in"}, "links": {"internal": [{"href": "/in"}]}}]], [{"metadata": {"title": ["x"]}}], [{"response_headers": {"ETag": ["x"]}}], [{"response_headers": {"etag": [["x"]]}}],
+    [{"links": {"internal": [{"href": ["/x"]}]}}], [{"links": {"internal": {"href": [{"href": "/x"}]}}}], [{"links": {"internal": [["/x", {"href": "/y"}]]}}], [{"links": [{"internal": ["/x"]}]}],
+    [{"metadata": [{"title": "x"}]}], [{"response_headers": [{"etag": "x"}]}], [{"links": {"internal": [{"href": {"href": "/x"}}]}}], [{"metadata": {"title": {"title": "x"}}}],
+]
+
+
+def test_odd_shapes_beside_normal(spark):
+    whole = {"links": {"internal": [{"href": "/a"}, "/b", {"href": "/c"}]}, "metadata": {"title": "T"}, "response_headers": {"ETag": "x", "etag": "y"}}
+    normal = [{"results": [whole, 3, whole]}, {**whole, "links": {"internal": {"href": "/d"}}}]
+    for odd in [*([x] for x in ODD), ODD]:
+        payloads = [json.dumps(x) for x in (*normal, *({"results": x} for x in odd))]
+        expected = sorted((k, *r) for k, p in enumerate(payloads) for r in brute_fields(p) if isinstance(r[-1], str) and r[-1].strip())
+        assert rows(spark, payloads) == expected and len(expected) >= 16, odd
+
+
+def test_fields_of_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/crawl_results.parquet").select("crawl_id", "payload")
+    expected = sorted((i, *r) for i, p in table.collect() for r in brute_fields(p) if isinstance(r[-1], str) and r[-1].strip())
+    assert sorted(map(tuple, nested.crawl_fields(table).collect())) == expected and len(expected) > 10_000
+
+
 def test_empty(spark):
     assert rows(spark, []) == [] and rows(spark, [None, "x"]) == []
 
