@@ -39,7 +39,7 @@ BUCKETS, PART = 1 << 22, 1 << 17
 SPLIT = 512  # records of one n-gram that may meet in one group
 LEAST = 4  # n-grams that a candidate pair must share within the prefixes
 ID_BITS = 1 << 23
-EXPAND = 4096  # pairs of copies up to which a pair of classes is written out in full
+BLOCK = 256  # members of a class, on average, that are paired as one row
 
 
 def ngrams(text: str | None, n: int, ids: WordIds) -> np.ndarray:
@@ -268,26 +268,46 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     return _verify(close, _sets(texts, n, _id_bits(close)), threshold), members
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, expand: int = EXPAND) -> DataFrame:
+def _block_pairs(pairs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """i, j of all members of the classes a and b (``ca``, ``cb`` members each); where both are the same class, each pair once.
+
+    Joins meet blocks of members as one row, so they stay small however many pairs come out, and large classes are spread.
+    """
+    blocks = lambda copies: F.ceil(copies / size).cast("int")
+    filled = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks(F.col("copies"))).cast("int")).groupBy("rep", "block").agg(F.collect_list("id").alias("ids"))
+    x = filled.select(F.col("rep").alias("a"), F.col("block").alias("x"), F.col("ids").alias("i"))
+    y = filled.select(F.col("rep").alias("b"), F.col("block").alias("y"), F.col("ids").alias("j"))
+    numbered = pairs.select("a", "b", "cb", F.explode(F.sequence(F.lit(0), blocks(F.col("ca")) - 1)).alias("x"))
+    from_block = F.when(F.col("a") == F.col("b"), F.col("x")).otherwise(0)
+    numbered = numbered.select("a", "b", "x", F.explode(F.sequence(from_block, blocks(F.col("cb")) - 1)).alias("y"))
+    met = numbered.join(x, ["a", "x"]).join(y, ["b", "y"])
+    one = ((F.col("a") == F.col("b")) & (F.col("x") == F.col("y"))).alias("one")
+    met = met.select(one, F.explode("i").alias("i"), "j").select("one", "i", F.explode("j").alias("j"))
+    return met.filter("NOT one OR i < j").select("i", "j")
+
+
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, expand: int | None = None, block: int = BLOCK) -> DataFrame:
     """a_id < b_id of all similar records, copies included.
 
-    Two classes of copies are written out in full up to ``expand`` pairs. Larger ones give the pair of representatives
-    and each copy paired with its representative, so no link between different texts is lost and no group is squared.
+    Only with ``expand`` are classes of copies with more than so many pairs collapsed: to the pair of representatives of
+    two classes, and to each copy paired with its representative.
     """
     links, members = similar_classes(df, id_col, text_col, n, threshold)
     members = checkpoint(members)
     links = checkpoint(links)
+    within = lambda count: F.lit(True) if expand is None else count <= expand
     sized = members.filter("id = rep").select("rep", "copies")
     x = sized.select(F.col("rep").alias("a"), F.col("copies").alias("ca"))
     y = sized.select(F.col("rep").alias("b"), F.col("copies").alias("cb"))
-    wide = links.join(x, "a").join(y, "b").select("a", "b", (F.col("ca") * F.col("cb") <= expand).alias("full"), (F.col("ca") * F.col("cb") == 1).alias("single"))
-    whole = members.select(F.col("rep").alias("a"), F.col("id").alias("i"))
-    other = members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    crossed = wide.filter("full AND NOT single").join(whole, "a").join(other, "b").select("i", "j")
+    product = F.col("ca") * F.col("cb")
+    wide = links.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", within(product).alias("full"), (product == 1).alias("single"))
+    several = sized.filter("copies > 1")
+    small = within(F.col("copies") * (F.col("copies") - 1) / 2)
+    same = several.filter(small).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("copies").alias("ca"), F.col("copies").alias("cb"))
+    whole = _block_pairs(wide.filter("full AND NOT single").select("a", "b", "ca", "cb").unionByName(same), members, block)
     plain = wide.filter("single OR NOT full").select(F.col("a").alias("i"), F.col("b").alias("j"))
-    several = members.filter("copies > 1")
-    small = F.col("copies") * (F.col("copies") - 1) / 2 <= expand
-    same = several.filter(small).select(F.col("rep").alias("b"), F.col("id").alias("i")).join(other, "b").filter("i < j").select("i", "j")
-    star = several.filter(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("i"), F.col("id").alias("j"))
-    pairs = plain.unionByName(crossed).unionByName(same).unionByName(star)
+    pairs = plain.unionByName(whole)
+    if expand is not None:
+        star = members.filter(F.col("copies") > 1).filter(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("i"), F.col("id").alias("j"))
+        pairs = pairs.unionByName(star)
     return pairs.select(F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id"))

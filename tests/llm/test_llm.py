@@ -67,6 +67,17 @@ def test_neardup_copies_and_empty(spark):
     assert neardup.near_duplicate_pairs(df.filter("false"), "id", "text", 3, 0.5).count() == 0
 
 
+def test_neardup_large_classes_in_full(spark):
+    text = "one two three four five six seven eight nine ten"
+    spellings = [text, text.upper(), text.replace(" ", ", ") + "."]
+    rows = [(k, spellings[k % 3]) for k in range(100)] + [(1000 + k, text + " eleven") for k in range(60)] + [(2000, "zero " + text), (3000, "quite another text")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    expected = sorted(brute_pairs(rows, 3, 0.5))
+    assert len(expected) == 161 * 160 // 2
+    for block in (neardup.BLOCK, 7):
+        assert sorted(map(tuple, neardup.near_duplicate_pairs(df, "id", "text", 3, 0.5, block=block).collect())) == expected
+
+
 # -- survivorship ------------------------------------------------------------------------------------------------------
 
 
