@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.identity import document_id, evidence_id
-from cairn.functions.texts import cut_words, word_count
+from cairn.functions.texts import cut_words, fingerprint, word_count
 from cairn.functions.url import host, normalize_url
 from cairn.operators import chunking, discovery, pages, ranking
 from cairn.session import checkpoint
@@ -53,11 +54,30 @@ def search(hits: DataFrame, page_cache: DataFrame, text: str, profile: Profile |
     scored = discovery.with_lexical(candidates, query).filter("lexical_score > 0").withColumn("search", F.lit(1))
     selected = discovery.select_urls(scored, "search", "result_id", p.max_urls)
     urls = selected.select(normalize_url("url").alias("_key"), "choice").groupBy("_key").agg(F.min("choice").alias("choice"))
-    fetched = page_cache.filter("markdown IS NOT NULL AND outcome = 'content'").withColumn("_key", normalize_url(F.coalesce("final_url", "requested_url")))
-    newest = fetched.join(F.broadcast(urls), "_key").groupBy("_key").agg(F.max_by(F.struct("record_id", "markdown", "title", "requested_url", "choice"), F.struct("fetched_at", "record_id")).alias("p")).select("p.*")
+    newest = fetched(page_cache).join(F.broadcast(urls), "_key").groupBy("_key").agg(F.max_by(F.struct("record_id", "markdown", "title", "requested_url", "choice"), F.struct("fetched_at", "record_id")).alias("p")).select("p.*")
     return SearchFrames(selected, *answer(newest, text, p))
 
 
+def fetched(page_cache: DataFrame) -> DataFrame:
+    """The pages with content and the key of their URL."""
+    return page_cache.filter("markdown IS NOT NULL AND outcome = 'content'").withColumn("_key", normalize_url(F.coalesce("final_url", "requested_url")))
+
+
+def best_pages(page_cache: DataFrame, text: str, n: int) -> DataFrame:
+    """The ``n`` best pages for a query by BM25: of every URL the newest delivery, of equal contents one page.
+
+    Texts are not moved: ids, digests and word counts are ranked, then the texts of the ``n`` pages are read.
+    """
+    terms = sorted({t for t in re.findall("[a-z0-9]+", text.lower()) if len(t) > 1})
+    n_words, counts = ranking.term_counts(F.col("markdown"), terms)
+    key = F.coalesce("_key", F.col("record_id").cast("string"))
+    slim = fetched(page_cache).select("record_id", key.alias("_key"), "fetched_at", fingerprint(F.col("markdown")).alias("fingerprint"), n_words.alias("n_words"), counts.alias("counts"))
+    newest = pages.latest_versions(slim, "_key", "fetched_at", "record_id")
+    unique = checkpoint(newest.groupBy("fingerprint").agg(F.min_by(F.struct("record_id", "n_words", "counts"), "record_id").alias("p")).select("p.*"))
+    best = ranking.bm25(unique, "n_words", "counts", len(terms)).orderBy(F.desc("score"), "record_id").limit(n)
+    return page_cache.join(F.broadcast(best.select("record_id")), "record_id", "left_semi").select("record_id", "markdown", "title", "requested_url")
+
+
 def answer(bodies: DataFrame, text: str, p: Profile) -> tuple[DataFrame, DataFrame]:
     """(passages, citations) from a bounded set of pages: record_id, markdown, title, requested_url."""
     bodies = checkpoint(bodies)  # read several times below; a few rows

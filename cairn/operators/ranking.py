@@ -40,6 +40,25 @@ def prefilter_score(query: Column, text: Column, title: Column, position: Column
     return overlap(query, text) + 0.35 * overlap(query, F.coalesce(title, F.lit(""))) + 1.0 / ((position + 1) * 100.0)
 
 
+def term_counts(text: Column, terms: list[str]) -> tuple[Column, Column]:
+    """(number of words, how often each of ``terms`` occurs among them); words as in ``tokens``."""
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 1)
+    hits = F.filter(words, lambda w: w.isin(terms))
+    return F.size(words), F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.size(F.filter(hits, lambda w: w == t)))
+
+
+def bm25(counted: DataFrame, words_col: str, counts_col: str, n_terms: int, k: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Adds ``score`` (BM25) from the columns of ``term_counts``. What all rows have in common is one row."""
+    having = F.array(*[F.count_if(F.col(counts_col)[i] > 0) for i in range(n_terms)])
+    common = counted.agg(F.count("*").alias("_n"), F.greatest(F.avg(words_col), F.lit(1.0)).alias("_mean"), having.alias("_having"))
+    norm = k * (1 - b + b * F.col(words_col) / F.col("_mean"))
+    score = F.lit(0.0)
+    for i in range(n_terms):
+        tf, df = F.col(counts_col)[i], F.col("_having")[i]
+        score = score + F.log(1 + (F.col("_n") - df + 0.5) / (df + 0.5)) * tf * (k + 1) / (tf + norm)
+    return counted.crossJoin(F.broadcast(common)).withColumn("score", score).drop("_n", "_mean", "_having")
+
+
 def prefilter(chunks: DataFrame, source_col: str, score_col: str, index_col: str, keep: int = 50) -> DataFrame:
     """The ``keep`` best chunks, the best of each source first; a top-k, not a global sort."""
     best = F.row_number().over(Window.partitionBy(source_col).orderBy(F.desc(score_col), index_col)) == 1
