@@ -15,18 +15,27 @@ TIME_TEXTS = (
 )
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _time_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         load_table(spark, sf_dir, table).select(F.lit(table).alias("table_name"), F.col(key).alias("row_id"), "host", F.col(text).alias("time_text"))
         for table, key, text in TIME_TEXTS
     ]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    found = timestamps.unambiguous_instants(rows, load_table(spark, sf_dir, "hosts"), ["table_name", "host"], "row_id", "time_text")
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = timestamps.unambiguous_instants(_time_rows(spark, sf_dir), load_table(spark, sf_dir, "hosts"), ["table_name", "host"], "row_id", "time_text")
     return found.select("table_name", "row_id", "utc")
 
 
+def p3_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reading that Viterbi chooses for rows with several instants, none of which is in p3_found."""
+    found = timestamps.resolved_instants(_time_rows(spark, sf_dir), load_table(spark, sf_dir, "hosts"), ["table_name", "host"], "row_id", "time_text")
+    return found.select("table_name", "row_id", "utc", "n_readings")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.crawl_fields(load_table(spark, sf_dir, "crawl_results"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_resolved": p3_resolved, "p6_found": p6_found}
