@@ -269,11 +269,11 @@ def extract(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataF
 
 
 def watch(pages: DataFrame, id_col: str, html_col: str, **locator: str | None) -> DataFrame:
-    """id, state and text of a watched element on every page."""
+    """id, state and text of a watched element on every page; the whole page is parsed, so no match is missed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [locate(Tree(h[:MAX_INPUT]).root, **locator)[:2] if h else ("missing", None) for h in b["_h"]]
+            found = [locate(Tree(h).root, **locator)[:2] if h else ("missing", None) for h in b["_h"]]
             yield pd.DataFrame({id_col: b["_id"], "state": [f[0] for f in found], "text": [f[1] for f in found]})
 
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("state", T.StringType()), T.StructField("text", T.StringType())])

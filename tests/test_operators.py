@@ -147,6 +147,13 @@ def test_dp_is_best():
     assert abs(value([a for a, _ in got[1:]]) - best) < 1e-9
 
 
+def test_watch_reads_whole_page(spark):
+    filler = "<p>x</p>" * (html.MAX_INPUT // 8 + 1)
+    rows = [(1, f"<body>{filler}<h1>Late</h1></body>"), (2, f"<body><h1>A</h1>{filler}<h1>B</h1></body>"), (3, "<body><h1>A</h1></body>"), (4, None)]
+    got = {r.i: r.state for r in html.watch(spark.createDataFrame(rows, "i long, h string"), "i", "h", css="h1").collect()}
+    assert got == {1: "found", 2: "ambiguous", 3: "found", 4: "missing"}
+
+
 def test_robots_and_sitemaps(spark):
     body = "User-agent: a\nUser-agent: b\nDisallow: /x # c\nAllow: /x/y\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /\n"
     rules = robots.robots_rules(spark.createDataFrame([("h.test", body), ("g.test", None)], "o string, b string"), "o", "b")
