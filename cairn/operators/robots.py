@@ -32,8 +32,11 @@ def rule_regex(pattern: str) -> str:
     return f"^{escaped}{'$' if anchored else ''}"
 
 
-def parse_robots(body: str | None) -> list[tuple[str, bool, str, int, str, float | None]]:
-    """Rules of all groups: agent, allow, pattern, specificity, regex, crawl delay (0 to 86400 s)."""
+def parse_robots(body: str | None) -> list[tuple[str, bool | None, str | None, int | None, str | None, float | None]]:
+    """Rules of all groups: agent, allow, pattern, specificity, regex, crawl delay (0 to 86400 s).
+
+    A group without rules gives one row whose rule is null, as it still takes the place of ``*`` for its agents.
+    """
     groups: list[tuple[list[str], list[tuple[bool, str]], list[float]]] = []
     fresh = False
     for raw in (body or "").splitlines():
@@ -59,20 +62,21 @@ def parse_robots(body: str | None) -> list[tuple[str, bool, str, int, str, float
             except ValueError:
                 pass
     return [
-        (agent, allow, pattern, len(normal_octets(pattern.rstrip("$").replace("*", ""))), rule_regex(pattern), max(delays) if delays else None)
+        (agent, allow, pattern, *((None, None) if pattern is None else (len(normal_octets(pattern.rstrip("$").replace("*", ""))), rule_regex(pattern))), max(delays) if delays else None)
         for agents, rules, delays in groups
         for agent in agents
-        for allow, pattern in rules
+        for allow, pattern in rules or [(None, None)]
     ]
 
 
 def robots_rules(files: DataFrame, origin_col: str, body_col: str) -> DataFrame:
-    """One row per origin, agent and rule."""
+    """One row per origin, agent and rule; one without a rule for a group that has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(o, *r) for o, b in zip(batch[origin_col], batch[body_col], strict=True) for r in parse_robots(b)]
-            yield pd.DataFrame(rows, columns=[origin_col, "agent", "allow", "pattern", "specificity", "regex", "crawl_delay"])
+            frame = pd.DataFrame(rows, columns=[origin_col, "agent", "allow", "pattern", "specificity", "regex", "crawl_delay"])
+            yield frame.astype({"allow": "boolean", "specificity": "Int32", "crawl_delay": "float64"})
 
     return files.select(origin_col, body_col).mapInPandas(run, f"{origin_col} string, {RULES}")
 

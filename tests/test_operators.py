@@ -154,6 +154,15 @@ def test_watch_reads_whole_page(spark):
     assert got == {1: "found", 2: "ambiguous", 3: "found", 4: "missing"}
 
 
+def test_robots_group_without_rules(spark):
+    star = "User-agent: *\nDisallow: /\n\nUser-agent: "
+    files = spark.createDataFrame([("h.test", star + "cairn\nDisallow:\n"), ("d.test", star + "cairn\nCrawl-delay: 3\n"), ("o.test", star + "other\nDisallow:\n"), ("e.test", "")], "o string, b string")
+    rules = robots.robots_rules(files, "o", "b")
+    urls = spark.createDataFrame([(k, f"https://{h}.test/x") for k, h in enumerate("hdoe")], "i long, u string")
+    assert {r.i: r.allowed for r in robots.robots_decisions(urls, "i", "u", rules, "o", "cairn").collect()} == {0: True, 1: True, 2: False, 3: True}
+    assert [r.crawl_delay for r in rules.filter("o = 'd.test' AND agent = 'cairn'").collect()] == [3.0]
+
+
 def test_robots_and_sitemaps(spark):
     body = "User-agent: a\nUser-agent: b\nDisallow: /x # c\nAllow: /x/y\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /\n"
     rules = robots.robots_rules(spark.createDataFrame([("h.test", body), ("g.test", None)], "o string, b string"), "o", "b")
