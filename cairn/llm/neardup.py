@@ -1,18 +1,20 @@
 """Near-duplicate records: exact set-similarity self-join over word n-grams.
 
-1. Signature scan: the digest of every record's n-gram set, and a count sketch of all n-grams (a fixed number of buckets).
+1. Signature scan: the digest of every record's n-gram set, and two count sketches of fixed size, of n-grams and of words.
    Records with equal digests are copies; one representative per class goes on.
-2. Prefix scan: each representative's n-grams are ordered rarest first (sketch count, then hash). A pair at or above the
-   threshold shares an n-gram within both prefixes, so only prefix n-grams are joined. N-grams that the sketch proves
-   unique are left out, as they meet nothing. The join applies the length filter and the positional filter.
+2. Prefix scan: each representative's n-grams are ordered rarest first (``Order``). A pair at or above the threshold
+   shares an n-gram within both prefixes, so only prefix n-grams are joined. N-grams that the sketch proves unique are
+   left out, as they meet nothing. The join applies the length filter and the positional filter.
 3. A pair at or above the threshold that needs ``o`` common n-grams shares at least ``least`` of them within prefixes
    that are longer by ``least - 1``. Joined rows are counted per pair, and pairs with fewer are dropped; this also makes
    the candidates distinct, so that a pair is verified once.
 4. The sets of what is left are read again; a suffix filter (sizes of the parts of both sets between fixed pivots) drops
    pairs whose parts differ too much, the rest is verified exactly.
 
-Nothing unbounded is collected or broadcast: the sketch and the bitmap of surviving ids have fixed sizes, the ids of
-copies are broadcast only after a count. Hot n-grams are spread over pairs of blocks of their records.
+Nothing unbounded is collected or broadcast: the sketches and the bitmap of surviving ids have at most a fixed size (an
+overfull bitmap only lets more sets into the shuffle of the verification), the ids of copies are broadcast only after a
+count. A prefix n-gram is hot by the exact number of its prefix rows; its records, ordered by set size, are spread over
+pairs of blocks of compatible sizes. How full the sketches are changes the order only, never the rows that are copied.
 
 Defined results: null texts and texts with fewer words than ``n`` have no set and no partner; a record is no partner of
 itself; repeated ids count as one record; equal sets are copies with similarity 1; case, punctuation and spacing do not
@@ -23,22 +25,24 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.session import BROADCAST_ROWS, checkpoint
 from cairn.text import WordIds, rolling, words
 
-BUCKETS, PART = 1 << 22, 1 << 17
+MIN_BUCKETS, MAX_BUCKETS, PART = 1 << 18, 1 << 24, 1 << 17  # counters of the n-gram sketch
+WORD_BUCKETS = 1 << 20
+FAN = 64  # groups of tasks whose sketches are added in the first round
 SPLIT = 512  # records of one n-gram that may meet in one group
 LEAST = 4  # n-grams that a candidate pair must share within the prefixes
-ID_BITS = 1 << 23
+MIN_ID_BITS, MAX_ID_BITS = 1 << 20, 1 << 27
 BLOCK = 256  # members of a class, on average, that are paired as one row
 
 
@@ -66,88 +70,149 @@ def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _signatures(df: DataFrame, n: int, buckets: int) -> DataFrame:
-    part = min(PART, buckets)
+    """id and digest of every record with a set, and the parts of each task's sketch (n-gram counts, then word counts)."""
+    total = buckets + WORD_BUCKETS
+    part = min(PART, total)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sketch, some = WordIds(), np.zeros(buckets, dtype=np.int32), False
-        names = ["id", "digest", "part", "counts"]
+        ids, sketch, some = WordIds(), np.zeros(total, dtype=np.uint32), False
+        names = ["id", "digest", "part", "slot", "counts"]
         for batch in batches:
             keys, digests = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = ngrams(text, n, ids)
+                tokens = ids(words(text))
+                grams = np.unique(rolling(tokens, n))
                 if not len(grams) or key is None:
                     continue
                 some = True
                 np.add.at(sketch, (grams & np.uint64(buckets - 1)).astype(np.int64), 1)
+                np.add.at(sketch, buckets + (tokens & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), 1)
                 keys.append(key)
                 digests.append(xxhash.xxh3_128_digest(grams.tobytes()))
             k = len(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
-        if some:
-            parts = list(range(buckets // part))
-            blobs = [zlib.compress(sketch[p * part : (p + 1) * part].tobytes(), 1) for p in parts]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.binary()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(digests, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        slot = TaskContext.get().partitionId() % FAN
+        for at in range(-(-total // part)) if some else ():  # one part at a time, so that a task holds no second sketch
+            blob = zlib.compress(sketch[at * part : (at + 1) * part].tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at], pa.int32()), pa.array([slot], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
-    return df.mapInArrow(scan, "id long, digest binary, part int, counts binary")
+    return df.mapInArrow(scan, "id long, digest binary, part int, slot int, counts binary")
 
 
-def _sketch(signatures: DataFrame, buckets: int) -> np.ndarray:
-    """Sum of the tasks' sketches, of a fixed size whatever the input."""
-    part = min(PART, buckets)
+def _folded(parts: DataFrame, keys: list[str], dtype: type, size: int, add: Callable) -> DataFrame:
+    """One blob per key: a task streams the blobs of sorted keys and holds one running array."""
 
-    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(part, dtype=np.int64)
-        for blob in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(blob), dtype=np.int32)
-        return pd.DataFrame({"part": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total = None, np.zeros(size, dtype=dtype)
 
-    sketch = np.zeros(buckets, dtype=np.uint32)
-    rows = signatures.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(add, "part int, counts binary")
-    for row in rows.toLocalIterator():
-        sketch[row.part * part : (row.part + 1) * part] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)
-    return sketch
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in own), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=[*keys, "counts"])
 
+        for batch in batches:
+            for *key, blob in zip(*(batch.column(k).to_pylist() for k in range(len(keys))), batch.column(len(keys)), strict=True):
+                if own is not None and key != own:
+                    yield done()
+                    total = np.zeros(size, dtype=dtype)
+                own, more = key, np.frombuffer(zlib.decompress(blob.as_py()), dtype=dtype)
+                total[: len(more)] = add(total[: len(more)], more)
+        if own is not None:
+            yield done()
+
+    return parts.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(fold, ", ".join(f"{k} int" for k in keys) + ", counts binary")
+
+
+def _capped_sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.minimum(x.astype(np.uint64) + y, 2**32 - 1).astype(np.uint32)
 
-def _prefixes(df: DataFrame, n: int, threshold: float, least: int, split: int, sketch: np.ndarray) -> DataFrame:
-    """key, id, place of the prefix n-grams that are not proven unique.
 
-    An n-gram that the sketch counts more than ``split`` times is spread over blocks of its records: each row then goes
-    to every pair of blocks its own is part of, so no group of equal keys is large and every pair still meets once.
-    ``place`` holds the set size, the position and, for pairs of two different blocks, the side.
+class Order:
+    """Rare-first order of n-grams from two fixed-size sketches, the same for all records.
+
+    First by how far the n-gram's count stands out of the mean load of its sketch, then by the frequency of its words,
+    then by hash. While the load is small the first part is the count itself; on a corpus far larger than the sketch only
+    n-grams that are hot stand out, and the words, whose shares do not change with the size of the corpus, order the rest.
     """
-    shared = df.sparkSession.sparkContext.broadcast(sketch)
+
+    def __init__(self, counts: np.ndarray, buckets: int):
+        grams, self.mask, self.words = counts[:buckets], np.uint64(buckets - 1), np.round(8 * np.log2(1.0 + counts[buckets:])).astype(np.int32)
+        load = float(grams.sum(dtype=np.float64)) / buckets
+        self.noise = math.ceil(load + 3 * math.sqrt(load)) if load > 0.5 else 1
+        self.grams = np.minimum(grams, 65_535).astype(np.uint16)
+
+    def __call__(self, tokens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(n-grams of a record in order, sketch counts)."""
+        grams, first = np.unique(rolling(tokens, n), return_index=True)
+        if not len(grams):
+            return grams, grams
+        words_cost = self.words[(tokens & np.uint64(WORD_BUCKETS - 1)).astype(np.int64)]
+        rarity = sum(words_cost[k : len(words_cost) - n + 1 + k] for k in range(n))[first]
+        freq = self.grams[(grams & self.mask).astype(np.int64)]
+        at = np.lexsort((grams, rarity, np.maximum(freq, self.noise)))
+        return grams[at], freq[at]
+
+
+def _order(signatures: DataFrame, buckets: int) -> Order:
+    """Sum of the tasks' sketches, in two rounds, so that no task reads the parts of all others."""
+    total = buckets + WORD_BUCKETS
+    part = min(PART, total)
+    rows = _folded(_folded(signatures.filter("part IS NOT NULL"), ["part", "slot"], np.uint32, part, _capped_sum), ["part"], np.uint32, part, _capped_sum)
+    counts = np.zeros(total, dtype=np.uint32)
+    for row in rows.collect():  # total / part rows, whatever the input
+        got = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)[: total - row.part * part]
+        counts[row.part * part : row.part * part + len(got)] = got
+    return Order(counts, buckets)
+
+
+def _prefixes(df: DataFrame, n: int, threshold: float, least: int, order: Order) -> DataFrame:
+    """key, id, place (set size and position) of the prefix n-grams that are not proven unique."""
+    shared = df.sparkSession.sparkContext.broadcast(order)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        counts = shared.value
-        mask = np.uint64(len(counts) - 1)
+        ids, ranked = WordIds(), shared.value
         for batch in batches:
             owners, places, keys = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grams = ngrams(text, n, ids)
+                grams, freq = ranked(ids(words(text)), n)
                 if not len(grams) or key is None:
                     continue
-                freq = counts[(grams & mask).astype(np.int64)]
-                order = np.lexsort((grams, freq))[: prefix_length(len(grams), threshold) + least - 1]
-                kept = np.flatnonzero((freq[order] > 1) & (freq[order] <= split))
+                kept = np.flatnonzero(freq[: prefix_length(len(grams), threshold) + least - 1] > 1)
                 owners.append(np.full(len(kept), key, dtype=np.int64))
                 places.append(kept + (len(grams) << 32))
-                keys.append(grams[order[kept]].view(np.int64))
-                for at in np.flatnonzero(freq[order] > split).tolist():
-                    gram, blocks = int(grams[order[at]]), -(-int(freq[order[at]]) // split)
-                    own = xxhash.xxh3_64_intdigest(key.to_bytes(8, "little", signed=True), gram) % blocks
-                    pair = [(min(own, b), max(own, b)) for b in range(blocks)]
-                    hashed = [xxhash.xxh3_64_intdigest(f"{x},{y}", gram) for x, y in pair]
-                    side = [0 if x == y else 1 if own == x else 2 for x, y in pair]
-                    owners.append(np.full(blocks, key, dtype=np.int64))
-                    places.append(at + (len(grams) << 32) + (np.array(side, dtype=np.int64) << 60))
-                    keys.append(np.array(hashed, dtype=np.uint64).view(np.int64))
+                keys.append(grams[kept].view(np.int64))
             flat = lambda parts: pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([flat(keys), flat(owners), flat(places)], names=["key", "id", "place"])
 
     return df.mapInArrow(scan, "key long, id long, place long")
 
 
+def _groups(batches: Iterator[pa.RecordBatch], split: int | None) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """(rows of whole groups of equal keys, rows of groups of more than ``split``, their block) of rows sorted by key.
+
+    At most ``split`` rows of an open group are held back; a larger one is passed on as it comes, in blocks of ``split``.
+    """
+    none = [np.empty(0, np.int64)] * 3
+    held, open_key, passed = none, None, 0
+    for batch in batches_with_end(batches):
+        part = held if batch is None else [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+        if not len(part[0]):
+            continue
+        key = part[0]
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+        before = passed if passed and key[0] == open_key else 0
+        counts = np.diff(np.r_[starts, len(key)])
+        counts[0] += before
+        ordinal = np.arange(len(key)) - starts[group]
+        ordinal[group == 0] += before
+        large = counts > split if split is not None else np.zeros(len(counts), dtype=bool)
+        last_open = batch is not None
+        wait = (group == len(starts) - 1) & (not large[-1]) if last_open else np.zeros(len(key), dtype=bool)
+        hot = large[group]
+        held, open_key, passed = ([p[wait] for p in part], key[-1], int(counts[-1]) if large[-1] else 0) if last_open else (none, None, 0)
+        small = ~hot & ~wait
+        yield [p[small] for p in part], [p[hot] for p in part], ordinal[hot] // (split or 1)
+
+
 def _met_pairs(key: np.ndarray, owner: np.ndarray, place: np.ndarray, threshold: float, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows with equal keys (sorted) that pass the length and positional filters: larger set, smaller, least."""
     side, size, position = place >> 60, (place >> 32) & 0xFFFFFFF, place & 0xFFFFFFFF
@@ -171,24 +236,40 @@ def _met_pairs(key: np.ndarray, owner: np.ndarray, place: np.ndarray, threshold:
     return tuple(np.concatenate([f[k] for f in found]) for k in range(3))  # type: ignore[return-value]
 
 
-def _candidates(rows: DataFrame, threshold: float, least: int) -> DataFrame:
-    """Distinct pairs (a the larger set) that share enough n-grams within their prefixes. One shuffle of the rows."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.empty(0, np.int64)] * 3  # the last group of equal keys may go on in the next batch
-        for batch in batches_with_end(batches):
-            if batch is None:
-                part, kept = kept, [np.empty(0, np.int64)] * 3
-            else:
-                part = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns, strict=True)]
-                cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
-                kept, part = [p[cut:] for p in part], [p[:cut] for p in part]
-            a, b, bound = _met_pairs(*part, threshold, least)
-            for k in range(0, len(a), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (a, b, bound.astype(np.int32))], names=["a", "b", "bound"])
-
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key")
-    met = sorted_rows.mapInArrow(meet, "a long, b long, bound int")
+def _candidates(rows: DataFrame, threshold: float, least: int, split: int) -> DataFrame:
+    """Distinct pairs (a the larger set) that share enough n-grams within their prefixes.
+
+    The rows are shuffled once. Groups of more than ``split`` rows are counted there, exactly; ordered by set size they
+    are cut into blocks of ``split``, and only blocks whose sizes satisfy the length filter meet, each pair in a group of
+    its own.
+    """
+
+    def meet(split: int | None) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for small, _, _ in _groups(batches, split):
+                a, b, bound = _met_pairs(*small, threshold, least)
+                for k in range(0, len(a), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in (a, b, bound.astype(np.int32))], names=["a", "b", "bound"])
+
+        return run
+
+    def hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, owner, place), block in _groups(batches, split):
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(owner), pa.array(place), pa.array(block)], names=["key", "id", "place", "block"])
+
+    pair = "a long, b long, bound int"
+    sorted_rows = rows.repartition("key").sortWithinPartitions("key", "place", "id")
+    large = sorted_rows.mapInArrow(hot, "key long, id long, place long, block long")
+    size = F.shiftright("place", 32)
+    span = large.groupBy("key", "block").agg(F.min(size).alias("low"), F.max(size).alias("high"))
+    x = span.select("key", F.col("block").alias("x"), "high")
+    y = span.select("key", F.col("block").alias("y"), "low")
+    near = x.join(y, "key").filter((F.col("x") <= F.col("y")) & (F.col("high") >= F.ceil(threshold * F.col("low") - 1e-9)))
+    sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.col("x").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("x").alias("block"), F.lit(1).alias("side")), F.struct(F.col("y").alias("block"), F.lit(2).alias("side"))))
+    near = near.select("key", F.xxhash64("key", "x", "y").alias("meeting"), F.explode(sides).alias("s")).select("key", "meeting", "s.*")
+    spread = large.join(near, ["key", "block"]).select(F.col("meeting").alias("key"), "id", (F.col("place") + F.shiftleft(F.col("side").cast("long"), 60)).alias("place"))
+    met = sorted_rows.mapInArrow(meet(split), pair).unionByName(spread.repartition("key").sortWithinPartitions("key").mapInArrow(meet(None), pair))
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("bound").alias("least")).filter("n >= least").select("a", "b")
 
 
@@ -197,20 +278,25 @@ def batches_with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield None
 
 
-def _id_bits(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds all ids of the pairs (and some others)."""
+def _id_bits(pairs: DataFrame, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits that holds all ids of the pairs (and some others), combined in two rounds."""
+    part = min(PART, size // 8)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(ID_BITS // 8, dtype=np.uint8)
+        bits = np.zeros(size // 8, dtype=np.uint8)
         for batch in batches:
             for column in batch.columns:
-                at = column.to_numpy(zero_copy_only=False).astype(np.int64) % ID_BITS
+                at = column.to_numpy(zero_copy_only=False).astype(np.int64) % size
                 np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
-
-    total = np.zeros(ID_BITS // 8, dtype=np.uint8)
-    for row in pairs.mapInArrow(scan, "bits binary").toLocalIterator():
-        total |= np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+        slot = TaskContext.get().partitionId() % FAN
+        for at in range(len(bits) // part):
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([slot], pa.int32()), pa.array([zlib.compress(bits[at * part : (at + 1) * part].tobytes(), 1)], pa.binary())], names=["part", "slot", "counts"])
+
+    parts = pairs.mapInArrow(scan, "part int, slot int, counts binary")
+    rows = _folded(_folded(parts, ["part", "slot"], np.uint8, part, np.bitwise_or), ["part"], np.uint8, part, np.bitwise_or)
+    total = np.zeros(size // 8, dtype=np.uint8)
+    for row in rows.collect():
+        total[row.part * part : (row.part + 1) * part] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint8)
     return total
 
 
@@ -224,7 +310,7 @@ def _sets(df: DataFrame, n: int, bits: np.ndarray) -> DataFrame:
             keys, blobs = [], []
             at = batch.column(0).to_numpy(zero_copy_only=False)
             for k in range(len(at)):
-                i = int(at[k]) % ID_BITS
+                i = int(at[k]) % (8 * len(known))
                 if known[i >> 3] >> (i & 7) & 1:
                     keys.append(int(at[k]))
                     blobs.append(ngrams(batch.column(1)[k].as_py(), n, ids).tobytes())
@@ -252,11 +338,21 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "ga", "gb").mapInArrow(test, "a long, b long, similarity double").dropDuplicates(["a", "b"])
 
 
-def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, least: int = LEAST, split: int = SPLIT, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
-    """(pairs of class representatives with their similarity, membership id -> representative with the class size)."""
+def power_of_two(n: float, low: int, high: int) -> int:
+    """The least power of two that is at least ``n``, within bounds."""
+    return min(max(1 << max(0, math.ceil(math.log2(max(n, 1)))), low), high)
+
+
+def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, least: int = LEAST, split: int = SPLIT, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs of class representatives with their similarity, membership id -> representative with the class size).
+
+    The sketch has about one counter for eight bytes of text, at most ``MAX_BUCKETS``, or ``buckets`` counters.
+    """
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    if buckets is None:
+        buckets = power_of_two((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 8, MIN_BUCKETS, MAX_BUCKETS)
     signatures = checkpoint(_signatures(texts, n, buckets))
-    sketch = _sketch(signatures, buckets)
+    order = _order(signatures, buckets)
     records = signatures.filter("digest IS NOT NULL").select("id", "digest")
     classes = records.groupBy("digest").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"))
     members = records.join(classes, "digest").select("id", "rep", "copies").distinct()
@@ -264,8 +360,9 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     if copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
     singles = texts.join(copies, "id", "left_anti").select("id", "text")
-    close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, split, sketch), threshold, least))
-    return _verify(close, _sets(texts, n, _id_bits(close)), threshold), members
+    close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, order), threshold, least, split))
+    bits = power_of_two(16 * close.count(), MIN_ID_BITS, MAX_ID_BITS)
+    return _verify(close, _sets(texts, n, _id_bits(close, bits)), threshold), members
 
 
 def _block_pairs(pairs: DataFrame, members: DataFrame, size: int) -> DataFrame:
@@ -286,28 +383,50 @@ def _block_pairs(pairs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     return met.filter("NOT one OR i < j").select("i", "j")
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, expand: int | None = None, block: int = BLOCK) -> DataFrame:
-    """a_id < b_id of all similar records, copies included.
-
-    Only with ``expand`` are classes of copies with more than so many pairs collapsed: to the pair of representatives of
-    two classes, and to each copy paired with its representative.
-    """
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
+    """a_id < b_id of all similar records, copies included."""
     links, members = similar_classes(df, id_col, text_col, n, threshold)
     members = checkpoint(members)
     links = checkpoint(links)
-    within = lambda count: F.lit(True) if expand is None else count <= expand
     sized = members.filter("id = rep").select("rep", "copies")
     x = sized.select(F.col("rep").alias("a"), F.col("copies").alias("ca"))
     y = sized.select(F.col("rep").alias("b"), F.col("copies").alias("cb"))
-    product = F.col("ca") * F.col("cb")
-    wide = links.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", within(product).alias("full"), (product == 1).alias("single"))
-    several = sized.filter("copies > 1")
-    small = within(F.col("copies") * (F.col("copies") - 1) / 2)
-    same = several.filter(small).select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("copies").alias("ca"), F.col("copies").alias("cb"))
-    whole = _block_pairs(wide.filter("full AND NOT single").select("a", "b", "ca", "cb").unionByName(same), members, block)
-    plain = wide.filter("single OR NOT full").select(F.col("a").alias("i"), F.col("b").alias("j"))
-    pairs = plain.unionByName(whole)
-    if expand is not None:
-        star = members.filter(F.col("copies") > 1).filter(~small & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("i"), F.col("id").alias("j"))
-        pairs = pairs.unionByName(star)
+    wide = links.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", (F.col("ca") * F.col("cb") == 1).alias("single"))
+    same = sized.filter("copies > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.col("copies").alias("ca"), F.col("copies").alias("cb"))
+    whole = _block_pairs(wide.filter("NOT single").select("a", "b", "ca", "cb").unionByName(same), members, block)
+    pairs = wide.filter("single").select(F.col("a").alias("i"), F.col("b").alias("j")).unionByName(whole)
     return pairs.select(F.least("i", "j").alias("a_id"), F.greatest("i", "j").alias("b_id"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """id, group (the least id) of every node of the edges a, b: large-star and small-star rounds until nothing changes.
+
+    A round is two aggregations and joins over the edges, cut by a checkpoint; hot nodes are combined before the shuffle.
+    """
+    now, mark = checkpoint(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            break
+        mark = seen
+    return now.select(F.col("u").alias("id"), F.col("v").alias("group")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("group")).distinct())
+
+
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """id, group_id, class_id, copies, n_links of every record with a set.
+
+    ``group_id`` is the least class id that chains of similar records lead to, ``class_id`` the representative of the
+    record's copies, ``n_links`` the similar classes of its class.
+    """
+    links, members = similar_classes(df, id_col, text_col, n, threshold)
+    links, members = checkpoint(links.select("a", "b")), checkpoint(members)
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    groups = components(links).withColumnRenamed("id", "rep")
+    out = members.join(groups, "rep", "left").join(degree, "rep", "left")
+    return out.select("id", F.coalesce("group", "rep").alias("group_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))

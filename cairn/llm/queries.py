@@ -19,6 +19,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per passage or page with its group of near-duplicates, its class of copies and its number of links."""
+    parts = []
+    for table, key, text in (("passages", "passage_id", "text"), ("page_cache", "record_id", "markdown")):
+        groups = neardup.near_duplicate_groups(load_table(spark, sf_dir, table), key, text, n=3, threshold=0.5)
+        parts.append(groups.select(F.lit(table).alias("table_name"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivorship.resolve_metadata(load_table(spark, sf_dir, "metadata_conflicts"), load_table(spark, sf_dir, "metadata_sources"))
 
@@ -83,7 +92,7 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates_by_source(p10_scores(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p7_pieces": p7_pieces, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
 
 SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKENS = SPACE.replace("[", "[^", 1)

@@ -7,6 +7,7 @@ import pytest
 from conftest import DATA, compare
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, leakage, maincontent, neardup, queries, residue, splitting, survivorship, toxicity
 from cairn.text import plain_words, words
@@ -62,8 +63,8 @@ def test_neardup_copies_and_empty(spark):
     rows = [(k, "a b c d e f") for k in range(9)] + [(20, "a b c d e g")]
     df = spark.createDataFrame(rows, "id long, text string")
     assert len(neardup.near_duplicate_pairs(df, "id", "text", 3, 0.5).collect()) == 45
-    star = {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "text", 3, 0.5, expand=4).collect()}
-    assert star == {(0, k) for k in range(1, 9)} | {(0, 20)}
+    groups = {r.id: (r.group_id, r.class_id, r.copies, r.n_links) for r in neardup.near_duplicate_groups(df, "id", "text", 3, 0.5).collect()}
+    assert groups == {k: (0, 0, 9, 1) for k in range(9)} | {20: (0, 20, 1, 1)}
     assert neardup.near_duplicate_pairs(df.filter("false"), "id", "text", 3, 0.5).count() == 0
 
 
@@ -78,6 +79,38 @@ def test_neardup_large_classes_in_full(spark):
         assert sorted(map(tuple, neardup.near_duplicate_pairs(df, "id", "text", 3, 0.5, block=block).collect())) == expected
 
 
+def test_neardup_full_sketch(spark):
+    """A sketch far too small for the texts gives the same links, and no row more than the prefixes have n-grams."""
+    df = spark.read.parquet("/root/testdata/sf0.001/passages.parquet").select(F.col("passage_id").alias("id"), "text").filter("text IS NOT NULL")
+    found, rows = [], []
+    for buckets in (1 << 18, 1 << 4):
+        links, _ = neardup.similar_classes(df, "id", "text", 3, 0.5, split=16, buckets=buckets)
+        found.append({(r.a, r.b) for r in links.collect()})
+        order = neardup._order(neardup._signatures(df, 3, buckets), buckets)
+        rows.append(neardup._prefixes(df, 3, 0.5, neardup.LEAST, order).count())
+    assert found[0] == found[1] and found[0]
+    sizes = [len(neardup.ngrams(r.text, 3, neardup.WordIds())) for r in df.select("text").collect()]
+    assert rows[0] <= rows[1] <= sum(neardup.prefix_length(k, 0.5) + neardup.LEAST - 1 for k in sizes if k)  # a row per prefix n-gram at most
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    got = {r.id: r.group for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: root(k) for k in parent}
+
+
 # -- survivorship ------------------------------------------------------------------------------------------------------
 
 
