@@ -1,23 +1,25 @@
 """Evaluation texts leaking into training text: exact containment of item-sized windows, found by prefix filtering.
 
-Every item gives windows of ``window`` consecutive words (one shorter window if it has fewer words). A document holds a
-window only if it holds all of the window's shingles, so it is enough to join on the window's rarest shingle: its prefix
-under the order by document frequency over the whole corpus. A hit fixes where the window would have to start; the
-length and position bounds drop those that would stick out, the rest is verified word by word.
-
-The corpus is never shuffled: item shingles and windows travel in blocks of at most ``block_windows`` windows, each block
-broadcast to one scan. Shingle counts are exact over all documents. The number of scans grows with the items, not with
-the corpus.
+Every item gives windows of ``window`` consecutive words (one shorter window if it has fewer words). A window is the set
+of its shingles in order; a document holds it only if all of them stand there one after the other.
+
+1. The item side gives its windows and one bitmap of their shingles (of bounded size; some other shingles pass it,
+   which costs time but changes nothing).
+2. One scan of the corpus, whatever the number of items: the document frequency of every item shingle, and the runs of
+   words where at least as many consecutive shingles pass the bitmap as a window has (length bound). Only these runs
+   leave the scan.
+3. Shingles are ordered by document frequency over the whole corpus; a window's prefix is its rarest one. Prefixes and
+   the shingles of the runs are joined by hash, the offset in the window fixes where it would have to start, windows
+   that would stick out of their run are dropped (positional bound), the rest is compared word by word.
 
 Defined results: words are runs of letters and digits without case and accents; null, empty and wordless texts neither
-leak nor hold anything; repeated items and documents each give their own rows; a document appears once per item; other
-columns of the inputs are ignored.
+leak nor hold anything; repeated items and documents each give their own rows; a document appears once per item; null
+ids are ids like any other; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,148 +28,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.neardup import MAX_ID_BITS, MIN_ID_BITS, id_bits, power_of_two
+from cairn.session import checkpoint
 from cairn.text import WordIds, plain_words, rolling
 
-WINDOW, SHINGLE, BLOCK_WINDOWS = 13, 3, 200_000
-
-
-def item_windows(words: list[str], window: int) -> list[tuple[str, ...]]:
-    """All windows of an item; the whole item if it is shorter; none if it has no words."""
-    if not words:
-        return []
-    size = min(window, len(words))
-    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
-
-
-def _shingles(ids: np.ndarray, shingle: int) -> np.ndarray:
-    return rolling(ids, shingle)
-
-
-class Block:
-    """Windows of some items, by the hashes of their shingles; items shorter than a shingle use their own length."""
-
-    def __init__(self, shingle: int):
-        self.shingle = shingle
-        self.windows: dict[tuple[str, ...], set] = {}
-
-    def add(self, item: object, words: list[str], window: int) -> None:
-        for w in item_windows(words, window):
-            self.windows.setdefault(w, set()).add(item)
-
-    def hashes(self) -> dict[int, np.ndarray]:
-        """Distinct shingle hashes by shingle size."""
-        ids, found = WordIds(), {}
-        for w in self.windows:
-            size = min(self.shingle, len(w))
-            found.setdefault(size, set()).update(_shingles(ids(list(w)), size).tolist())
-        return {size: np.array(sorted(x), dtype=np.uint64) for size, x in found.items()}
-
-    def prefixes(self, count: dict[tuple[int, int], int]) -> dict[int, dict[int, list[tuple[int, tuple[str, ...]]]]]:
-        """size -> rarest shingle -> (its offset in the window, window)."""
-        ids, found = WordIds(), {}
-        for w in self.windows:
-            size = min(self.shingle, len(w))
-            own = _shingles(ids(list(w)), size).tolist()
-            at = min(range(len(own)), key=lambda i: (count.get((size, own[i]), 0), own[i], i))
-            if count.get((size, own[at]), 0):
-                found.setdefault(size, {}).setdefault(own[at], []).append((at, w))
-        return found
-
-
-def blocks(items: DataFrame, id_col: str, text_col: str, window: int, shingle: int, block_windows: int) -> Iterator[Block]:
-    """The items in blocks of bounded size, streamed through the driver one partition at a time."""
-    block = Block(shingle)
-    for row in items.select(id_col, text_col).toLocalIterator():
-        words = plain_words(row[1])
-        # A long item spans several blocks; the overlap keeps every window.
-        step = max(1, block_windows - window)
-        for k in range(0, max(1, len(words)), step):
-            block.add(row[0], words[k : k + step + window - 1], window) if k == 0 or len(words) - k >= window else None
-            if len(block.windows) >= block_windows:
-                yield block
-                block = Block(shingle)
-    if block.windows:
-        yield block
-
-
-def _document_frequency(docs: DataFrame, text_col: str, hashes: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """In how many documents each of the given shingles occurs; bounded by the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(hashes)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+WINDOW, SHINGLE = 13, 3
+
+
+def bits_of(h: np.ndarray, size: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit values for the bitmap from a shingle's hash and the size of the windows it is part of."""
+    with np.errstate(over="ignore"):
+        x = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD) + np.asarray(size).astype(np.uint64)
+        y = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x, y ^ (y >> np.uint64(32))
+
+
+def item_windows(items: DataFrame, item_id: str, text_col: str, window: int, shingle: int) -> DataFrame:
+    """Distinct windows of every item: item, size, words, hashes of its shingles in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
-        totals = {size: np.zeros(len(h), dtype=np.int64) for size, h in shared.value.items()}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                own = ids(plain_words(text))
-                for size, known in shared.value.items():
-                    met = rolling(own, size)
-                    if len(met):
-                        at = np.searchsorted(known, met)
-                        at[at == len(known)] = 0
-                        at = np.unique(at[known[at] == met])
-                        totals[size][at] += 1
-        for size, known in shared.value.items():
-            some = np.flatnonzero(totals[size])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), size, dtype=np.int32)), pa.array(known[some].view(np.int64)), pa.array(totals[size][some])], names=["size", "h", "n"])
-
-    rows = docs.select(text_col).mapInArrow(count, "size int, h long, n long").groupBy("size", "h").agg(F.sum("n").alias("n"))
-    return {(r.size, r.h & 0xFFFFFFFFFFFFFFFF): r.n for r in rows.toLocalIterator()}
-
-
-def _scan(docs: DataFrame, id_col: str, text_col: str, prefixes: dict, items: dict, item_type: T.DataType, item_col: str) -> DataFrame:
-    """Documents that hold a window of the block, with the window's items."""
-    keys = {size: np.array(sorted(p), dtype=np.uint64) for size, p in prefixes.items()}
-    shared = docs.sparkSession.sparkContext.broadcast((prefixes, keys, items))
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds()
-        table, known, owners = shared.value
+            rows = []
+            for key, text in zip(batch["_item"], batch["_text"], strict=True):
+                words = plain_words(text)
+                size = min(window, len(words))
+                hashes = rolling(ids(words), min(shingle, size)).view(np.int64).tolist() if words else []
+                known = set()
+                for i in range(len(words) - size + 1 if words else 0):
+                    own = tuple(words[i : i + size])
+                    if own not in known:
+                        known.add(own)
+                        rows.append((key, size, list(own), hashes[i : i + size - min(shingle, size) + 1]))
+                        if len(rows) >= 20_000:
+                            yield pd.DataFrame(rows, columns=["item", "size", "words", "hashes"])
+                            rows = []
+            yield pd.DataFrame(rows, columns=["item", "size", "words", "hashes"])
+
+    schema = T.StructType([T.StructField("item", items.schema[item_id].dataType), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    return items.select(F.col(item_id).alias("_item"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+
+
+def _bitmap(windows: DataFrame) -> tuple[list[int], np.ndarray]:
+    """The window sizes, and a bitmap of all their shingles: about 32 bits for each, at most ``MAX_ID_BITS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs_out, items_out = [], []
-            for key, text in zip(batch["_doc"], batch["_text"], strict=True):
+            size, h = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in bits_of(h.view(np.uint64), size)], names=["a", "b"])
+
+    hashes = windows.select("size", F.explode("hashes").alias("h"))
+    counts = {r["size"]: r["n"] for r in hashes.groupBy("size").agg(F.approx_count_distinct("h").alias("n")).collect()}  # at most ``window`` rows
+    return sorted(counts), id_bits(hashes.mapInArrow(run, "a long, b long"), power_of_two(32 * sum(counts.values()), MIN_ID_BITS, MAX_ID_BITS))
+
+
+def _passes(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
+    ok = np.ones(len(h), dtype=bool)
+    for x in bits_of(h, size):
+        at = x.view(np.int64) % (8 * len(bits))
+        ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return ok
+
+
+def runs_of(ok: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least ``least`` true values."""
+    edge = np.diff(np.r_[False, ok, False].astype(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    long = ends - starts >= least
+    return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+
+
+def _scan(docs: DataFrame, doc_id: str, text_col: str, windows_of: list[int], bits: np.ndarray, shingle: int) -> DataFrame:
+    """The one scan: rows (size, h, n) that count documents per item shingle, and rows (size, doc, words) of runs."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    doc_type = docs.schema[doc_id].dataType
+    schema = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("doc", doc_type), T.StructField("words", T.ArrayType(T.StringType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known = WordIds(), shared.value
+        for batch in batches:
+            met: dict[int, list[np.ndarray]] = {size: [] for size in windows_of}
+            sizes, at, texts = [], [], []
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 words = plain_words(text)
                 if not words:
                     continue
                 own = ids(words)
-                met: set = set()
-                for size, hashes in known.items():
-                    shingles = rolling(own, size)
-                    if not len(shingles):
-                        continue
-                    at = np.searchsorted(hashes, shingles)
-                    at[at == len(hashes)] = 0
-                    for pos in np.flatnonzero(hashes[at] == shingles).tolist():
-                        for offset, w in table[size][int(shingles[pos])]:
-                            start = pos - offset  # positional and length bounds
-                            if start >= 0 and start + len(w) <= len(words) and not owners[w] <= met and tuple(words[start : start + len(w)]) == w:
-                                met |= owners[w]
-                docs_out.extend([key] * len(met))
-                items_out.extend(sorted(met, key=str))
-            yield pd.DataFrame({id_col: pd.Series(docs_out, dtype="object"), item_col: pd.Series(items_out, dtype="object")})
-
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, item_type)])
-    return docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(find, schema)
-
-
-def leaked(
-    docs: DataFrame,
-    items: DataFrame,
-    doc_id: str = "doc_id",
-    item_id: str = "item_id",
-    text_col: str = "text",
-    window: int = WINDOW,
-    shingle: int = SHINGLE,
-    block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
+                for size in windows_of:
+                    part = min(shingle, size)
+                    hashes = rolling(own, part)
+                    ok = _passes(known, hashes, size)
+                    met[size].append(np.unique(hashes[ok]))
+                    for start, end in runs_of(ok, size - part + 1):
+                        sizes.append(size)
+                        at.append(k)
+                        texts.append(words[start : end + part - 1])
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(texts, pa.list_(pa.string()))], names=schema.names)
+            for size, parts in met.items():
+                h, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(h), batch.column(0).type), pa.nulls(len(h), pa.list_(pa.string()))], names=schema.names)
+
+    return docs.select(doc_id, text_col).mapInArrow(run, schema)
+
+
+def _run_shingles(runs: DataFrame, shingle: int) -> DataFrame:
+    """Every shingle of a run with the words around it: size, doc, h, back (words before it), words."""
+    names = ["size", "doc", "h", "back", "words"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = WordIds()
+        for batch in batches:
+            rows = []
+            for size, doc, words in zip(batch["size"], batch["doc"], batch["words"], strict=True):
+                words, part = list(words), min(shingle, int(size))
+                for pos, h in enumerate(rolling(ids(words), part).view(np.int64).tolist()):
+                    low = max(0, pos + part - size)
+                    rows.append((size, doc, h, pos - low, words[low : pos + size]))
+                    if len(rows) >= 20_000:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    schema = T.StructType([runs.schema["size"], runs.schema["doc"], T.StructField("h", T.LongType()), T.StructField("back", T.IntegerType()), runs.schema["words"]])
+    return runs.select("size", "doc", "words").mapInPandas(run, schema)
+
+
+def leaked(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, item_id of the documents that contain ``window`` consecutive words of an item (all of it if shorter)."""
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
-    found, several = None, False
-    for block in blocks(items, item_id, text_col, window, shingle, block_windows):
-        prefixes = block.prefixes(_document_frequency(docs, text_col, block.hashes()))
-        part = _scan(docs, doc_id, text_col, prefixes, block.windows, items.schema[item_id].dataType, item_id)
-        several = found is not None
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], schema)
-    return found.distinct() if several else found
+    windows = checkpoint(item_windows(items, item_id, text_col, window, shingle))
+    sizes, bits = _bitmap(windows)
+    found = checkpoint(_scan(docs, doc_id, text_col, sizes, bits, shingle))
+    frequency = found.filter("n IS NOT NULL").groupBy("size", "h").agg(F.sum("n").alias("n"))
+    # The rarest shingle of each window; one that no document holds rules the window out.
+    shingles = windows.select("item", "size", "words", F.posexplode("hashes").alias("offset", "h"))
+    counted = shingles.join(frequency, ["size", "h"], "left").groupBy("item", "size", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "offset")).alias("p"))
+    prefixes = counted.filter("p.n > 0").select("item", "size", F.col("words").alias("wanted"), "p.h", "p.offset")
+    runs = _run_shingles(found.filter("n IS NULL").select("size", "doc", "words"), shingle)
+    start = F.col("back") - F.col("offset")
+    held = runs.join(prefixes, ["size", "h"]).filter((start >= 0) & (start + F.col("size") <= F.size("words"))).filter(F.slice("words", start + 1, F.col("size")) == F.col("wanted"))
+    return held.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()

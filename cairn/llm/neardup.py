@@ -278,7 +278,7 @@ def batches_with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield None
 
 
-def _id_bits(pairs: DataFrame, size: int) -> np.ndarray:
+def id_bits(pairs: DataFrame, size: int) -> np.ndarray:
     """A bitmap of ``size`` bits that holds all ids of the pairs (and some others), combined in two rounds."""
     part = min(PART, size // 8)
 
@@ -362,7 +362,7 @@ def similar_classes(df: DataFrame, id_col: str, text_col: str, n: int = 5, thres
     singles = texts.join(copies, "id", "left_anti").select("id", "text")
     close = checkpoint(_candidates(_prefixes(singles, n, threshold, least, order), threshold, least, split))
     bits = power_of_two(16 * close.count(), MIN_ID_BITS, MAX_ID_BITS)
-    return _verify(close, _sets(texts, n, _id_bits(close, bits)), threshold), members
+    return _verify(close, _sets(texts, n, id_bits(close, bits)), threshold), members
 
 
 def _block_pairs(pairs: DataFrame, members: DataFrame, size: int) -> DataFrame:
