@@ -83,17 +83,18 @@ def _bitmap(windows: DataFrame) -> tuple[list[int], np.ndarray]:
 
 
 def _passes(bits: np.ndarray, h: np.ndarray, size: int) -> np.ndarray:
-    ok = np.ones(len(h), dtype=bool)
+    """Positions of the hashes that pass the bitmap."""
+    at = np.arange(len(h))
     for x in bits_of(h, size):
-        at = x.view(np.int64) % (8 * len(bits))
-        ok &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return ok
+        bit = x[at].view(np.int64) % (8 * len(bits))
+        at = at[(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)]
+    return at
 
 
-def runs_of(ok: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(start, end) of the runs of at least ``least`` true values."""
-    edge = np.diff(np.r_[False, ok, False].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def runs_of(at: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, end) of the runs of at least ``least`` consecutive numbers."""
+    cuts = np.flatnonzero(np.diff(at) != 1) + 1
+    starts, ends = at[np.r_[0, cuts]] if len(at) else at, at[np.r_[cuts - 1, len(at) - 1]] + 1 if len(at) else at
     long = ends - starts >= least
     return list(zip(starts[long].tolist(), ends[long].tolist(), strict=True))
 
@@ -107,26 +108,35 @@ def _scan(docs: DataFrame, doc_id: str, text_col: str, windows_of: list[int], bi
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, known = WordIds(), shared.value
         for batch in batches:
-            met: dict[int, list[np.ndarray]] = {size: [] for size in windows_of}
-            sizes, at, texts = [], [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                words = plain_words(text)
-                if not words:
-                    continue
-                own = ids(words)
-                for size in windows_of:
-                    part = min(shingle, size)
-                    hashes = rolling(own, part)
-                    ok = _passes(known, hashes, size)
-                    met[size].append(np.unique(hashes[ok]))
-                    for start, end in runs_of(ok, size - part + 1):
+            texts = [plain_words(t) for t in batch.column(1).to_pylist()]
+            own = [ids(w) for w in texts]
+            sizes, at, found = [], [], []
+            counts = []
+            for part in sorted({min(shingle, size) for size in windows_of}):
+                # All hashes of the batch in one row, a gap behind each document.
+                lengths = np.array([max(0, len(x) - part + 1) for x in own], dtype=np.int64)
+                starts = np.concatenate([[0], np.cumsum(lengths + 1)])
+                hashes = np.zeros(starts[-1], dtype=np.uint64)
+                for k, x in enumerate(own):
+                    if lengths[k]:
+                        hashes[starts[k] : starts[k] + lengths[k]] = rolling(x, part)
+                for size in (s for s in windows_of if min(shingle, s) == part):
+                    met = _passes(known, hashes, size)
+                    doc = np.searchsorted(starts, met, side="right") - 1
+                    real = met - starts[doc] < lengths[doc]
+                    met, doc = met[real], doc[real]
+                    order = np.lexsort((hashes[met], doc))
+                    d, h = doc[order], hashes[met][order]
+                    once = h[np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])]] if len(h) else h
+                    counts.append((size, *np.unique(once, return_counts=True)))
+                    for start, end in runs_of(met, size - part + 1):
+                        k = int(np.searchsorted(starts, start, side="right")) - 1
                         sizes.append(size)
                         at.append(k)
-                        texts.append(words[start : end + part - 1])
+                        found.append(texts[k][start - starts[k] : end - starts[k] + part - 1])
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(texts, pa.list_(pa.string()))], names=schema.names)
-            for size, parts in met.items():
-                h, count = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), batch.column(0).take(pa.array(at, pa.int64())), pa.array(found, pa.list_(pa.string()))], names=schema.names)
+            for size, h, count in counts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), size, dtype=np.int32)), pa.array(h.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(h), batch.column(0).type), pa.nulls(len(h), pa.list_(pa.string()))], names=schema.names)
 
     return docs.select(doc_id, text_col).mapInArrow(run, schema)
