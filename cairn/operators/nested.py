@@ -1,20 +1,24 @@
 """Deeply nested JSON records as related flat tables (shared inlining).
 
 ``schema_graph`` analyses the structure of a JSON column over all rows: which paths occur, with which kinds, and whether
-an element repeats below its parent. ``plan_tables`` inlines every descendant that occurs once per parent and gives each
-repeated element a table of its own; ``shred`` produces the rows of all tables in one pass, each with the key of its
-parent row. Keys are ``(root id, table, path of positions)``, so parent and child join without any generated id.
-
-Defined results: null, empty or invalid JSON gives no row; a JSON string holding JSON is decoded once more; a lone object
-where other records have an array is its only element; equal elements keep their own positions; unknown fields are
-inlined like any other, under their path; nesting of any depth is allowed.
+an element repeats below its parent. ``plan_tables`` decides the tables from it: elements that repeat, that recur below
+themselves, or that are shared (objects of one name and one set of keys below several parents) get tables; everything
+else is inlined into its nearest ancestor with a table. ``shred`` produces the rows of all tables in one pass, each with
+the key of its parent row: the key of a row is (root id, path, positions), that of its parent (root id, parent path,
+positions without the last), so parent and child join without any generated id. ``flat_table`` gives one table with
+named columns.
+
+Defined results: null, empty or invalid JSON gives no row; a JSON string holding JSON is decoded once more; a lone value
+where other records have an array is its only element, and its cells keep the path without ``[]``; equal elements keep
+their own positions; unknown fields are inlined like any other, under their path; ``.``, ``[`` and ``~`` in keys are
+written ``~1``, ``~2`` and ``~0``; nesting of any depth is allowed.
 """
 
 from __future__ import annotations
 
 import json
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -25,15 +29,19 @@ from pyspark.sql import types as T
 from cairn.text import WHITE
 
 GRAPH_SCHEMA = "path string, kind string, n long, most long"
-CELL = T.StructType([T.StructField("path", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("val", T.StringType())])
-SHRED_SCHEMA = T.StructType(
-    [
-        T.StructField("table_name", T.StringType()),
-        T.StructField("pos", T.ArrayType(T.IntegerType())),
-        T.StructField("parent_table", T.StringType()),
-        T.StructField("cells", T.ArrayType(CELL)),
-    ]
-)
+CELL = T.StructType([T.StructField(n, T.StringType()) for n in ("path", "full", "kind", "val")])
+SHRED_FIELDS = [
+    T.StructField("table_name", T.StringType()),
+    T.StructField("path", T.StringType()),
+    T.StructField("pos", T.ArrayType(T.IntegerType())),
+    T.StructField("parent_path", T.StringType()),
+    T.StructField("cells", T.ArrayType(CELL)),
+]
+
+
+def key_name(key: str) -> str:
+    """A key as a part of paths."""
+    return key.replace("~", "~0").replace(".", "~1").replace("[", "~2") if "." in key or "[" in key or "~" in key else key
 
 
 def _reject(name: str):
@@ -74,7 +82,7 @@ def _walk(value: object, path: str, seen: Counter, most: dict) -> None:
         kind = kind_of(v)
         seen[p, kind] += 1
         if kind == "object":
-            stack.extend((x, f"{p}.{k}" if p else k) for k, x in v.items())
+            stack.extend((x, f"{p}.{key_name(k)}" if p else key_name(k)) for k, x in v.items())
         elif kind == "array":
             most[p] = max(most.get(p, 0), len(v))
             stack.extend((x, f"{p}[]") for x in v)
@@ -82,11 +90,13 @@ def _walk(value: object, path: str, seen: Counter, most: dict) -> None:
 
 @dataclass
 class TablePlan:
-    """Repeated paths, each a table; everything else is inlined into its nearest repeated ancestor."""
+    """The paths of elements with tables, and the names of those that share one with other paths."""
 
     repeated: set[str] = field(default_factory=set)
+    names: dict[str, str] = field(default_factory=dict)
 
     def parent(self, path: str) -> str:
+        """The nearest ancestor with a table; the root is empty."""
         while path:
             cut = max(path.rfind("."), path.rfind("[]"))
             path = path[:cut] if cut >= 0 else ""
@@ -94,6 +104,18 @@ class TablePlan:
                 return path
         return ""
 
+    def level(self, path: str) -> int | None:
+        """Which of a row's positions is that of ``path``; None if the path has no table."""
+        if path not in self.repeated:
+            return None
+        n = 0
+        while path := self.parent(path):
+            n += 1
+        return n
+
+    def table(self, path: str) -> str:
+        return self.names.get(path, path)
+
 
 def unwrap(value: object, root: str | None) -> object:
     """With ``root``, an object that lacks the array ``root`` becomes the only element of such an array."""
@@ -124,90 +146,92 @@ def schema_graph(df: DataFrame, json_col: str, root: str | None = None) -> DataF
     return found.groupBy("path", "kind").agg(F.sum("n").alias("n"), F.max("most").alias("most"))
 
 
-def plan_tables(graph: DataFrame, inline: tuple[str, ...] = (), max_tables: int = 10_000) -> TablePlan:
-    """Tables for the repeated elements. Reads only the array paths; a document family has few, ``max_tables`` guards that.
-
-    Paths in ``inline`` are kept inlined where they hold one object, though some records have an array there; the
-    elements of those arrays still go to a table of that path.
-    """
-    rows = graph.filter("kind = 'array'").select("path").limit(max_tables + 1).collect()
-    if len(rows) > max_tables:
-        raise ValueError(f"more than {max_tables} repeated elements: keys look like data; choose a narrower root")
-    return TablePlan({r.path for r in rows} - set(inline))
-
-
-def shred_value(value: object, plan: TablePlan) -> list[tuple[str, list[int], str, list[tuple[str, str, str | None]]]]:
-    """All rows of one record: (table, positions, parent table, cells)."""
-    out = []
+def plan_tables(graph: DataFrame) -> TablePlan:
+    """The tables that the schema graph calls for; only their paths reach the driver."""
+    parts = F.split(F.regexp_replace("path", r"\[\]", ""), r"\.")
+    repeated = graph.filter("kind = 'array'").select("path", F.lit(None).cast("string").alias("name"))
+    named = graph.filter("path <> ''").withColumn("_parts", parts).withColumn("_name", F.element_at("_parts", -1))
+    parent = F.regexp_replace(F.regexp_replace("path", r"(\[\])*$", ""), r"(^|\.)[^.]*$", "")
+    keys = named.filter(~F.col("path").endswith("[]")).select(parent.alias("path"), "_name").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("_keys"))
+    objects = named.filter("kind = 'object'").join(keys, "path").withColumn("path", F.regexp_replace("path", r"(\[\])+$", ""))
+    types = objects.groupBy("_name", "_keys").agg(F.collect_set("path").alias("paths")).filter(F.size("paths") > 1)
+    shared = types.select(F.explode("paths").alias("path"), F.col("_name").alias("name"))
+    own = F.col("_name")
+    recursive = named.filter("kind = 'object'").filter(F.size(F.filter("_parts", lambda x: x == own)) > 1).select(F.regexp_replace("path", r"(\[\])+$", "").alias("path"), F.col("_name").alias("name"))
+    rows = repeated.unionByName(shared).unionByName(recursive).groupBy("path").agg(F.max("name").alias("name")).collect()
+    return TablePlan({r.path for r in rows}, {r.path: r.name for r in rows if r.name is not None})
+
+
+def shred_value(value: object, plan: TablePlan, wanted: Callable[[str], bool] | None = None) -> list[tuple[str, list[int], list[tuple[str, str, str, str | None]]]]:
+    """All rows of one record: (path, positions, cells). With ``wanted`` only cells whose full path it accepts, and their rows."""
     cells: dict[tuple[str, tuple[int, ...]], list] = defaultdict(list)
     rows: list[tuple[str, tuple[int, ...]]] = [("", ())]
-    # (value, schema path, owning table, path within the table, positions)
+    # (value, full path, path of the owning table, path within it, positions)
     stack: list[tuple[object, str, str, str, tuple[int, ...]]] = [(value, "", "", "", ())]
     while stack:
         v, path, table, inner, pos = stack.pop()
         if path in plan.repeated and not (table == path and inner == ""):
-            items = v if isinstance(v, list) else [] if v is None else [v]
+            several = isinstance(v, list)
+            items = v if several else [] if v is None else [v]
             for k in range(len(items) - 1, -1, -1):
                 rows.append((path, (*pos, k)))
-                stack.append((items[k], path + "[]" if isinstance(v, list) else path, path, "", (*pos, k)))
+                stack.append((items[k], path + "[]" if several else path, path, "", (*pos, k)))
             continue
-        kind = kind_of(v)
-        if kind == "object":
+        if isinstance(v, dict):
             for k in reversed(list(v)):
-                stack.append((v[k], f"{path}.{k}" if path else k, table, f"{inner}.{k}" if inner else k, pos))
-        elif kind == "array":  # an array of arrays: its own element table
+                name = key_name(k)
+                stack.append((v[k], f"{path}.{name}" if path else name, table, f"{inner}.{name}" if inner else name, pos))
+        elif isinstance(v, list):  # not in the plan's records: kept as rows of a table of its own
             for k in range(len(v) - 1, -1, -1):
                 rows.append((path, (*pos, k)))
                 stack.append((v[k], path + "[]", path, "", (*pos, k)))
-        else:
-            cells[table, pos].append((inner, kind, scalar_text(v)))
-    for table, pos in rows:
-        out.append((table, list(pos), plan.parent(table), cells.get((table, pos), [])))
-    return out
+        elif wanted is None or wanted(path):
+            cells[table, pos].append((inner, path, kind_of(v), scalar_text(v)))
+    if wanted is not None:
+        return [(path, list(pos), found) for (path, pos), found in cells.items()]
+    return [(path, list(pos), cells.get((path, pos), [])) for path, pos in rows]
 
 
-def shred(df: DataFrame, id_col: str, json_col: str, plan: TablePlan, root: str | None = None, tables: list[str] | None = None) -> DataFrame:
-    """Rows of every table of ``plan`` (or only of ``tables``): id, table_name, pos, parent_table, cells.
+def shred(df: DataFrame, id_col: str, json_col: str, plan: TablePlan, root: str | None = None, tables: list[str] | None = None, wanted: Callable[[str], bool] | None = None) -> DataFrame:
+    """Rows of every table of ``plan`` (or only of ``tables``): id, table_name, path, pos, parent_path, cells.
 
-    The parent row of a row has the same id, table ``parent_table`` and the positions without the last one.
+    The parent row of a row has the same id, the path ``parent_path`` and the positions without the last one.
     """
-    wanted = set(tables) if tables is not None else None
+    named = set(tables) if tables is not None else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parents: dict[str, str] = {}
         for batch in batches:
             ids, rows = [], []
             for key, payload in zip(batch["_id"], batch["_json"], strict=True):
                 value = unwrap(decode(payload), root)
                 if value is None:
                     continue
-                for row in shred_value(value, plan):
-                    if wanted is None or row[0] in wanted:
-                        ids.append(key)
-                        rows.append(row)
-                        if len(rows) >= 20_000:
-                            yield _frame(ids, rows)
-                            ids, rows = [], []
+                for path, pos, cells in shred_value(value, plan, wanted):
+                    if named is not None and plan.table(path) not in named:
+                        continue
+                    if path not in parents:
+                        parents[path] = plan.parent(path)
+                    ids.append(key)
+                    rows.append((plan.table(path), path, pos, parents[path], [dict(zip(CELL.names, c, strict=True)) for c in cells]))
+                    if len(rows) >= 20_000:
+                        yield frame(ids, rows)
+                        ids, rows = [], []
             if rows:
-                yield _frame(ids, rows)
-
-    def _frame(ids: list, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "_id": pd.Series(ids, dtype="object"),
-                "table_name": [r[0] for r in rows],
-                "pos": [r[1] for r in rows],
-                "parent_table": [r[2] for r in rows],
-                "cells": [[{"path": a, "kind": b, "val": c} for a, b, c in r[3]] for r in rows],
-            }
-        )
-
-    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), *SHRED_SCHEMA.fields])
+                yield frame(ids, rows)
+
+    def frame(ids: list, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=[f.name for f in SHRED_FIELDS])
+        out.insert(0, "_id", pd.Series(ids, dtype="object"))
+        return out
+
+    schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType), *SHRED_FIELDS])
     return df.select(F.col(id_col).alias("_id"), F.col(json_col).alias("_json")).mapInPandas(run, schema).withColumnRenamed("_id", id_col)
 
 
 def flat_table(shredded: DataFrame, table: str, columns: list[str]) -> DataFrame:
-    """One flat table with the given inlined columns; several equal keys of one object keep the last value."""
-    as_map = F.map_from_arrays(F.transform("cells", lambda c: c["path"]), F.transform("cells", lambda c: c["val"]))
+    """One flat table: id, path, pos, parent_path and the given inlined columns; several equal keys of one object keep the last."""
+    as_map = F.map_from_entries(F.transform(F.array_distinct(F.transform("cells", lambda c: c["path"])), lambda p: F.struct(p.alias("key"), F.element_at(F.filter("cells", lambda c: c["path"] == p), -1)["val"].alias("value"))))
     own = shredded.filter(F.col("table_name") == table)
     keep = [c for c in shredded.columns if c not in ("cells", "table_name")]
     return own.withColumn("_m", as_map).select(*keep, *[F.try_element_at("_m", F.lit(c)).alias(c.replace(".", "_")) for c in columns])
@@ -217,36 +241,36 @@ def not_blank(value: Column) -> Column:
     return value.isNotNull() & (F.length(F.translate(value, WHITE, "")) > 0)
 
 
+LINKS = "results[].links.internal"
+#: Full paths of internal link targets, as an entry's member or as a plain entry, in an array or alone.
+TARGETS = (f"{LINKS}[].href", f"{LINKS}.href", f"{LINKS}[]", LINKS)
+
+
+def crawl_tables(df: DataFrame, id_col: str = "crawl_id", json_col: str = "payload", wanted: Callable[[str], bool] | None = None) -> tuple[TablePlan, DataFrame]:
+    """The plan for crawl payloads and their shredded rows; a payload without ``results`` is its own only result."""
+    plan = plan_tables(schema_graph(df, json_col, root="results"))
+    plan.repeated.add("results")  # also where no record is valid
+    return plan, shred(df, id_col, json_col, plan, root="results", wanted=wanted)
+
+
 def crawl_fields(df: DataFrame, id_col: str = "crawl_id", json_col: str = "payload") -> DataFrame:
     """Internal link targets, titles and etags of crawl payloads, each tied to its crawl, result and position.
 
-    Columns: id, result_pos, path, link_pos (-1 for title and etag), val. Only non-blank JSON strings give rows; results
-    that are not objects give none but count as positions. An array where a result, link, title, href or etag is expected
-    gives no row, and has no influence on the others: all paths on the way to a value are kept inlined.
+    Columns: id, result_pos, path, link_pos (-1 for title and etag), val. Values are read from the planned tables by
+    their full path, wherever the plan puts them. Only non-blank JSON strings give rows; results that are not objects
+    give none but count as positions; an array where a result, link, title, href or etag is expected gives no row.
     """
-    links = "results[].links.internal"
-    branches = ("results[]", "results[].links", "results[].metadata", "results[].metadata.title", "results[].response_headers")
-    plan = plan_tables(schema_graph(df, json_col, root="results"), inline=(*branches, f"{links}[]", f"{links}[].href", f"{links}.href"))
-    etags = {p for p in plan.repeated if p.startswith("results[].response_headers.") and p.lower() == "results[].response_headers.etag"}
-    plan.repeated = plan.repeated - etags | {"results", links}
-    rows = shred(df, id_col, json_col, plan, root="results", tables=["results", links])
-    cell = rows.select(id_col, "table_name", "pos", F.explode("cells").alias("c")).filter((F.col("c.kind") == "string") & not_blank(F.col("c.val")))
-    path = (
-        F.when((F.col("table_name") == links) & F.col("c.path").isin("", "href"), "links.internal.href")
-        .when((F.col("table_name") == "results") & (F.col("c.path") == "metadata.title"), "metadata.title")
-        .when((F.col("table_name") == "results") & (F.lower("c.path") == "response_headers.etag") & F.col("c.path").startswith("response_headers."), "response_headers.etag")
-    )
-    return (
-        cell.withColumn("path", path)
-        .filter("path IS NOT NULL")
-        .select(
-            id_col,
-            F.col("pos")[0].alias("result_pos"),
-            "path",
-            F.when(F.col("path") == "links.internal.href", F.col("pos")[1]).otherwise(-1).cast("int").alias("link_pos"),
-            F.col("c.val").alias("val"),
-        )
-    )
+    head, title = "results[].response_headers.", "results[].metadata.title"
+
+    def wanted(path: str) -> bool:
+        return path in TARGETS or path == title or (path.startswith(head) and path.lower() == head + "etag")
+
+    plan, rows = crawl_tables(df, id_col, json_col, wanted)
+    level = plan.level(LINKS)
+    cell = rows.select(id_col, "pos", F.explode("cells").alias("c")).filter((F.col("c.kind") == "string") & not_blank(F.col("c.val")))
+    path = F.when(F.col("c.full").isin(*TARGETS), "links.internal.href").when(F.col("c.full") == title, "metadata.title").otherwise("response_headers.etag")
+    link_pos = F.when(path == "links.internal.href", F.lit(0) if level is None else F.col("pos")[level]).otherwise(-1)
+    return cell.select(id_col, F.col("pos")[0].alias("result_pos"), path.alias("path"), link_pos.cast("int").alias("link_pos"), F.col("c.val").alias("val"))
 
 
 def crawl_bodies(df: DataFrame, id_col: str = "crawl_id", json_col: str = "payload") -> DataFrame:

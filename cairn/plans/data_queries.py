@@ -38,4 +38,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.crawl_fields(load_table(spark, sf_dir, "crawl_results"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_resolved": p3_resolved, "p6_found": p6_found}
+def p6_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned table of results: key, parent key and inlined members."""
+    _, rows = nested.crawl_tables(load_table(spark, sf_dir, "crawl_results"))
+    return nested.flat_table(rows, "results", ["url", "status_code", "success", "metadata.title", "metadata.description"])
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planned table of internal links, a child of the results: key, parent key and inlined members."""
+    plan, rows = nested.crawl_tables(load_table(spark, sf_dir, "crawl_results"))
+    return nested.flat_table(rows, plan.table(nested.LINKS), ["href", "text", "title"])
+
+
+QUERIES = {"p3_found": p3_found, "p3_resolved": p3_resolved, "p6_found": p6_found, "p6_results": p6_results, "p6_links": p6_links}

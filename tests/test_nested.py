@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from cairn.operators import nested
 
 SCHEMA = "crawl_id long, payload string, result_pos string"
@@ -71,8 +73,34 @@ def test_deep_and_recursive(spark):
     shredded = nested.shred(df, "id", "j", plan)
     flat = nested.flat_table(shredded, "a", ["c.d"])
     assert sorted((r.pos[0], r.c_d) for r in flat.collect()) == [(0, "x"), (0, "x"), (1, "y"), (1, "y")]
-    parents = {(r.table_name, tuple(r.pos)) for r in shredded.collect()}
-    assert all(r.table_name == "" or (r.parent_table, tuple(r.pos[: len(r.pos) - 1])) in parents or r.table_name == "a[].b[]" for r in shredded.collect())
+    rows = shredded.collect()
+    keys = {(r.path, tuple(r.pos)) for r in rows}
+    assert all(r.path == "" or (r.parent_path, tuple(r.pos[:-1])) in keys for r in rows)
+
+
+def test_shared_and_recursive(spark):
+    person = {"name": "n", "mail": "m"}
+    tree = {"part": {"id": 1, "part": {"id": 2, "part": {"id": 3}}}}
+    df = spark.createDataFrame([(1, json.dumps({"author": person, "review": {"author": person}, **tree, "a.b": 1}))], "rid long, j string")
+    plan = nested.plan_tables(nested.schema_graph(df, "j"))
+    assert {p: plan.table(p) for p in plan.repeated} == {"author": "author", "review.author": "author", "part": "part", "part.part": "part", "part.part.part": "part"}
+    rows = nested.shred(df, "rid", "j", plan)
+    authors = nested.flat_table(rows, "author", ["name"]).collect()
+    assert sorted((r.path, r.parent_path, tuple(r.pos), r.name) for r in authors) == [("author", "", (0,), "n"), ("review.author", "", (0,), "n")]
+    parts = nested.flat_table(rows, "part", ["id"]).collect()
+    assert sorted((r.parent_path, tuple(r.pos), r.id) for r in parts) == [("", (0,), "1"), ("part", (0, 0), "2"), ("part.part", (0, 0, 0), "3")]
+    assert {c.full for r in rows.collect() if r.path == "" for c in r.cells} == {"a~1b"}
+
+
+def test_planned_tables_of_crawls(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/crawl_results.parquet").select("crawl_id", "payload")
+    plan, rows = nested.crawl_tables(table)
+    parent = plan.parent(nested.LINKS)
+    assert {"results", nested.LINKS} <= plan.repeated and parent in ("results", "results[].links") and plan.level(nested.LINKS) == (1 if parent == "results" else 2)
+    links = nested.flat_table(rows, nested.LINKS, ["href"]).filter("href IS NOT NULL")
+    results = nested.flat_table(rows, parent, []).select("crawl_id", F.col("path").alias("parent_path"), F.col("pos").alias("p"))
+    joined = links.join(results, ["crawl_id", "parent_path"]).filter(F.slice("pos", 1, F.size("pos") - 1) == F.col("p"))
+    assert joined.count() == links.count() > 0
 
 
 def test_bodies(spark):
