@@ -84,6 +84,12 @@ def domain_decisions(hits: DataFrame, blocked: DataFrame | None, allowed: DataFr
     return out.withColumn("filtered_reason", reason).drop("_b", "_a", "host").withColumnRenamed("_h", "host")
 
 
+def attach_published(pages: DataFrame, url_col: str, hits: DataFrame, id_col: str, published_col: str) -> DataFrame:
+    """Pages with the first hit of their URL and its publication text, null where there is none. One hit per URL is joined."""
+    first = hits.groupBy(normalize_url("url").alias("_key")).agg(F.min(F.struct(id_col, published_col)).alias("_d"))
+    return pages.withColumn("_key", normalize_url(url_col)).join(first, "_key", "left").select(*pages.columns, "_d.*")
+
+
 def domain_limit(max_urls: int, allowed: int | None = None) -> int:
     """How many URLs one host may take: all if a single host is allowed, one for tiny requests, else a third up to 3."""
     if allowed is not None and allowed <= 1:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions.texts import overlap
+from cairn.functions.url import normalize_url
 
 #: Labels and terms of the quality rules.
 NAVIGATION = ("home", "menu", "search", "login", "log in", "sign in", "sign up", "register", "skip to content")
 FOOTER = ("all rights reserved", "copyright", "privacy policy", "terms of service", "cookie policy")
 GENERIC = (*NAVIGATION, "one", "two", "three", "four", "five", "six", "click here", "read more", "learn more", "next", "previous")
+#: The form of a link and the limits of the rules (characters, lines, terms, shares) below.
 LINK = r"\[([^\]]+)\]\([^)]+\)"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
@@ -60,9 +62,9 @@ def bm25(counted: DataFrame, words_col: str, counts_col: str, n_terms: int, k: f
 
 
 def prefilter(chunks: DataFrame, source_col: str, score_col: str, index_col: str, keep: int = 50) -> DataFrame:
-    """The ``keep`` best chunks, the best of each source first; a top-k, not a global sort."""
+    """The ``keep`` best chunks, in order of score: the best of each source have precedence; a top-k, not a global sort."""
     best = F.row_number().over(Window.partitionBy(source_col).orderBy(F.desc(score_col), index_col)) == 1
-    return chunks.withColumn("_best", best).orderBy(F.desc("_best"), F.desc(score_col), index_col).limit(keep).drop("_best")
+    return chunks.withColumn("_best", best).orderBy(F.desc("_best"), F.desc(score_col), index_col).limit(keep).orderBy(F.desc(score_col), index_col).drop("_best")
 
 
 def floor_fill(scored: DataFrame, group_col: str, score_col: str = "score") -> DataFrame:
@@ -83,29 +85,41 @@ def token_fill(scored: DataFrame, group_col: str, order: list[Column], budget: i
 
 
 def citations(passages: DataFrame, group_col: str, key: Column, rank_col: str = "rank") -> DataFrame:
-    """Passages grouped by cited document in order of first use, with the number of distinct spans."""
+    """Passages grouped by cited document (``citation_key_of``) in order of first use, with the number of distinct spans."""
     per = passages.withColumn("_key", key).groupBy(group_col, "_key").agg(F.min(rank_col).alias("first_rank"), F.count("*").alias("n_passages"), F.count_distinct("start_index", "end_index").alias("n_spans"))
     return per.withColumn("citation_id", F.row_number().over(Window.partitionBy(group_col).orderBy("first_rank"))).withColumnRenamed("_key", "citation_key")
 
 
-def byte_envelope(items: DataFrame, group_col: str, order_cols: list[str], bytes_col: str, item_bytes: int, list_bytes: int) -> DataFrame:
+def citation_key_of(document: Column, source_url: Column) -> Column:
+    """What a passage cites: its document, or where that is unknown the merge key of its URL."""
+    return F.coalesce(document, normalize_url(source_url))
+
+
+def byte_envelope(items: DataFrame, group_col: str, order_cols: list[str], bytes_col: str, item_bytes: int, list_bytes: int, max_items: int | None = None, reserve: int = 0, between: int = 0, mark: str | None = None) -> DataFrame:
     """Items in order that fit one by one into a byte budget; those that do not fit are skipped and the scan goes on.
 
+    ``reserve`` bytes are used before the first item and ``between`` before each later one. With ``mark`` all items come
+    out and that column tells which are kept.
+
     A streaming fold over sorted partitions: a task holds one batch and one number, whatever a group's size.
     """
-    sized = items.filter(F.col(bytes_col) <= item_bytes).repartition(group_col).sortWithinPartitions(group_col, *order_cols)
+    small = F.coalesce(F.col(bytes_col) <= item_bytes, F.lit(False))
+    sized = (items.filter(small) if mark is None else items.withColumn(mark, small)).repartition(group_col).sortWithinPartitions(group_col, *order_cols)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, used = object(), 0
+        group, used, kept = object(), reserve, 0
         for pdf in batches:
             keep = []
-            for g, n in zip(pdf[group_col], pdf[bytes_col], strict=True):
+            for g, n, ok in zip(pdf[group_col], pdf[bytes_col], pdf[mark] if mark else [True] * len(pdf), strict=True):
                 if g != group:
-                    group, used = g, 0
-                fits = used + int(n) <= list_bytes
-                used += int(n) if fits else 0
+                    group, used, kept = g, reserve, 0
+                more = int(n) + (between if kept else 0) if ok else 0
+                fits = bool(ok) and used + more <= list_bytes and (max_items is None or kept < max_items)
+                if fits:
+                    used, kept = used + more, kept + 1
                 keep.append(fits)
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+            chosen = pd.Series(keep, index=pdf.index, dtype=bool)
+            yield pdf[chosen] if mark is None else pdf.assign(**{mark: chosen})
 
     return sized.mapInPandas(run, sized.schema)
 

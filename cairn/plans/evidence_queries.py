@@ -99,7 +99,7 @@ SEED = "https://dreibror-post.example/"
 
 @query(f"""WITH c AS (SELECT entry_id, url, entry_order % 6 AS depth, {_sql_host('url')} AS h, lower({_sql_part('url', 1)}) AS s, {_sql_part('url', 3)} AS p FROM sitemap_entries)
   SELECT entry_id, CASE WHEN depth > 4 THEN 'depth_exceeded' WHEN h = '' THEN 'invalid_url' WHEN s <> 'https' OR NOT (h = 'dreibror-post.example') THEN 'outside_origin'
-  WHEN regexp_matches(p, '^/passage/.*$') THEN 'excluded_path' WHEN regexp_matches(p, '[^/.][^/]*\\.[^./]+$') THEN 'unsupported_file_type' END AS reason FROM c""")
+  WHEN regexp_matches(p, '^/passage/.*$') THEN 'excluded_path' WHEN lower(regexp_extract(p, '[^/.][^/]*?(\\.[^./]+)$', 1)) NOT IN ('', '.htm', '.html', '.pdf') THEN 'unsupported_file_type' END AS reason FROM c""")
 def scope_filter(t):
     return t.sitemap_entries.select("entry_id", url.scope_rejection("url", F.col("entry_order") % 6, SEED, 4, exclude=("/passage/*",)).alias("reason"))
 
@@ -191,19 +191,23 @@ def content_dedup(t):
     return pages.first_copies(t.page_cache, "markdown", "record_id")
 
 
-@query(f"""SELECT record_id, CASE WHEN status_code = 429 THEN 'rate_limited' WHEN status_code IN (401, 403) THEN 'access_denied' WHEN status_code >= 400 THEN 'upstream_failure'
-  WHEN regexp_matches(lower((coalesce(markdown, '') || chr(10) || coalesce(raw_html, ''))[1:16384]), '{pages.CHALLENGE}') THEN 'challenge'
-  WHEN kind = 'application/pdf' THEN 'unsupported_pdf' WHEN NOT (starts_with(kind, 'text/') OR kind IN {pages.TEXT_TYPES}) THEN 'unsupported_content'
+@query(f"""SELECT record_id, CASE WHEN status_code = 429 THEN 'rate_limited'
+  WHEN regexp_matches(lower((coalesce(markdown, '') || chr(10) || coalesce(raw_html, ''))[1:16384]), 'captcha|cf-chl|challenge-platform|checking your connection before continuing|please verify your browser|verify you are human|just a moment') THEN 'challenge'
+  WHEN outcome = 'upstream_failure' THEN 'upstream_failure'
+  WHEN kind = 'application/pdf' AND NOT coalesce(list_contains(capabilities, 'pdf'), false) THEN 'unsupported_capability'
+  WHEN kind IN ('application/msword', 'application/rtf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/vnd.oasis.opendocument.text') AND NOT coalesce(list_contains(capabilities, 'document'), false) THEN 'unsupported_capability'
+  WHEN kind <> '' AND NOT (starts_with(kind, 'text/') OR kind IN ('application/xml', 'application/rss+xml', 'application/xhtml+xml', 'application/json', 'application/pdf', 'application/msword', 'application/rtf', 'application/vnd.openxmlformats-officedocument.wordprocessingml.document', 'application/vnd.oasis.opendocument.text')) THEN 'unsupported_content'
   WHEN coalesce(strlen(markdown), 0) + coalesce(strlen(raw_html), 0) > {MAX_BYTES} THEN 'content_too_large'
-  WHEN coalesce(length(trim(markdown)), 0) > 0 THEN 'content'
-  WHEN coalesce(contains(lower(raw_html), '<script') AND length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) < 32, false) THEN 'javascript_shell'
-  ELSE 'empty' END AS code FROM (SELECT *, lower(trim(split_part(coalesce(content_type, 'text/html'), ';', 1))) AS kind FROM page_cache)""")
+  WHEN coalesce(length(markdown), 0) > 0 THEN 'content'
+  WHEN coalesce(contains(lower(raw_html), '<script') AND length(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw_html, '(?is)<script\\b.*?</script\\s*>', '', 'g'), '(?is)<style\\b.*?</style\\s*>', '', 'g'), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))) < 32, false) THEN 'empty_shell'
+  ELSE 'extraction_empty' END AS code FROM (SELECT *, lower(trim(split_part(content_type, ';', 1))) AS kind FROM page_cache)""")
 def outcome_classify(t):
     c = F.col
-    return t.page_cache.select("record_id", pages.outcome_code(c("status_code"), c("content_type"), c("markdown"), c("raw_html"), MAX_BYTES).alias("code"))
+    code = pages.outcome_code(c("status_code"), c("content_type"), c("markdown"), c("raw_html"), MAX_BYTES, c("capabilities"), success=c("outcome") != "upstream_failure")
+    return t.page_cache.select("record_id", code.alias("code"))
 
 
-@query("SELECT outcome, count(*) AS n, count_if(outcome IN ('timeout', 'upstream_failure', 'rate_limited', 'empty', 'deadline_cancelled')) AS n_retryable, round(avg(status_code), 4) AS mean_status FROM page_cache GROUP BY outcome")
+@query("SELECT outcome, count(*) AS n, count_if(outcome IN ('capacity_unavailable', 'upstream_timeout', 'deadline_cancelled', 'upstream_failure', 'rate_limited')) AS n_retryable, round(avg(status_code), 4) AS mean_status FROM page_cache GROUP BY outcome")
 def outcome_counts(t):
     return t.page_cache.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("outcome").isin(*pages.RETRYABLE)).alias("n_retryable"), F.round(F.avg("status_code"), 4).alias("mean_status"))
 
@@ -256,16 +260,20 @@ def watch_transition(t):
 
 
 @query("""WITH a AS (SELECT *, sum(CASE WHEN status_code BETWEEN 200 AND 399 THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY observed_at NULLS FIRST, observation_id ROWS UNBOUNDED PRECEDING) AS island FROM validator_observations),
-  b AS (SELECT *, sum(CASE WHEN status_code IN (403, 404, 410, 429, 500, 503) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY observed_at NULLS FIRST, observation_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM a)
-  SELECT observation_id, failures, CASE WHEN status_code IN (403, 404, 410, 429, 500, 503) THEN least(300, power(2, least(failures, 10))::INT) ELSE 0 END AS delay FROM b""")
+  b AS (SELECT *, sum(CASE WHEN status_code IN (403, 429) THEN 1 ELSE 0 END) OVER (PARTITION BY host, island ORDER BY observed_at NULLS FIRST, observation_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failures FROM a)
+  SELECT observation_id, failures, CASE WHEN status_code IN (403, 429) THEN greatest(least(300, power(2, least(failures, 10))::INT), observation_id % 400)::BIGINT ELSE 0 END AS delay FROM b""")
 def backoff_islands(t):
-    return pages.backoff(t.validator_observations, "host", "observed_at", "observation_id", "status_code", bad=(403, 404, 410, 429, 500, 503)).select("observation_id", "failures", "delay")
+    o = t.validator_observations
+    return pages.backoff(o, "host", "observed_at", "observation_id", "status_code", retry_after=F.col("observation_id") % 400).select("observation_id", "failures", "delay")
 
 
-@query("""WITH a AS (SELECT record_id, host, fetched_at, row_number() OVER (PARTITION BY host ORDER BY fetched_at, record_id) - 1 AS n FROM page_cache WHERE fetched_at IS NOT NULL)
-  SELECT record_id, round(max(fetched_at - n * 3600.0) OVER (PARTITION BY host ORDER BY fetched_at, record_id ROWS UNBOUNDED PRECEDING) + n * 3600.0 - fetched_at, 3) AS waited FROM a""")
+@query("""WITH g AS (SELECT *, greatest(3600.0, CASE WHEN host < 'm' THEN 5400.0 ELSE 0 END) + (('0x' || sha256(host)[1:4])::BIGINT) / 65535.0 * 2.5 AS gap FROM page_cache WHERE fetched_at IS NOT NULL),
+  a AS (SELECT record_id, host, fetched_at, gap, row_number() OVER (PARTITION BY host ORDER BY fetched_at, record_id) - 1 AS n FROM g)
+  SELECT record_id, round(max(fetched_at - n * gap) OVER (PARTITION BY host ORDER BY fetched_at, record_id ROWS UNBOUNDED PRECEDING) + n * gap - fetched_at, 2) AS waited FROM a""")
 def host_schedule(t):
-    return pages.paced_starts(t.page_cache.filter("fetched_at IS NOT NULL"), "host", F.col("fetched_at"), "record_id", 3600.0).select("record_id", F.round("waited", 3).alias("waited"))
+    robots_delay = F.when(F.col("host") < "m", 5400.0)
+    gap = pages.host_spacing(F.col("host"), 3600.0, robots_delay, 2.5)
+    return pages.paced_starts(t.page_cache.filter("fetched_at IS NOT NULL"), "host", F.col("fetched_at"), "record_id", gap).select("record_id", F.round("waited", 2).alias("waited"))
 
 
 @query()
@@ -274,11 +282,11 @@ def version_diffs(t):
     return pages.version_diffs(versions, "article", "fetched_at", "record_id", "markdown").select("article", "record_id", "truncated", "n_previous", "n_current", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"))
 
 
-@query("""SELECT p.record_id, p.url_identity, d.result_id FROM page_cache p JOIN (SELECT url, min(result_id) AS result_id FROM discovery_results GROUP BY url) d ON d.url = p.requested_url""")
+@query(f"""SELECT p.record_id, d.result_id, d.published_date FROM page_cache p LEFT JOIN
+  (SELECT key, min(result_id) AS result_id, arg_min(published_date, result_id) AS published_date FROM (SELECT {_sql_normalize('url')} AS key, * FROM discovery_results) GROUP BY key) d ON d.key = {_sql_normalize('p.requested_url')}""")
 def page_discovery_join(t):
-    d = t.discovery_results.groupBy("url").agg(F.min("result_id").alias("result_id"))
-    p = t.page_cache
-    return p.join(d, p.requested_url == d.url).select("record_id", "url_identity", "result_id")
+    """Publication texts of hits for pages; every page stays, with or without a hit."""
+    return discovery.attach_published(t.page_cache.select("record_id", "requested_url"), "requested_url", t.discovery_results, "result_id", "published_date").select("record_id", "result_id", "published_date")
 
 
 # -- passages ----------------------------------------------------------------------------------------------------------
@@ -343,15 +351,15 @@ def token_budget_fill(t):
     return ranking.token_fill(p, "document_id", [F.desc("score"), F.col("source_url"), F.col("passage_id")], 120).select("passage_id", "rank", F.col("used_tokens").cast("long").alias("used_tokens"))
 
 
-@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY coalesce(section_heading, '') ORDER BY score DESC NULLS LAST, passage_id) AS rank FROM passages),
-  c AS (SELECT coalesce(section_heading, '') AS grp, coalesce(document_id, source_url) AS citation_key, min(rank) AS first_rank, count(*) AS n_passages, count(DISTINCT (start_index, end_index)) FILTER (start_index IS NOT NULL AND end_index IS NOT NULL) AS n_spans FROM p GROUP BY 1, 2)
+@query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY coalesce(section_heading, '') ORDER BY score DESC NULLS LAST, passage_id) AS rank FROM passages),
+  c AS (SELECT coalesce(section_heading, '') AS grp, coalesce(document_id, {_sql_normalize('source_url')}) AS citation_key, min(rank) AS first_rank, count(*) AS n_passages, count(DISTINCT (start_index, end_index)) FILTER (start_index IS NOT NULL AND end_index IS NOT NULL) AS n_spans FROM p GROUP BY 1, 2)
   SELECT grp, citation_key, first_rank, n_passages, n_spans, row_number() OVER (PARTITION BY grp ORDER BY first_rank) AS citation_id FROM c""")
 def citation_groups(t):
     from pyspark.sql import Window
 
     p = t.passages.withColumn("grp", F.coalesce("section_heading", F.lit("")))
     p = p.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc_nulls_last("score"), "passage_id")))
-    return ranking.citations(p, "grp", F.coalesce("document_id", "source_url"))
+    return ranking.citations(p, "grp", ranking.citation_key_of(F.col("document_id"), F.col("source_url")))
 
 
 @query()

@@ -31,6 +31,23 @@ def test_normalize(spark, u):
     assert one(spark, url.normalize_url(F.lit(u))) == reference(u)
 
 
+HOSTS = {
+    "bücher.example": "xn--bcher-kva.example", "пример.рф": "xn--e1afmkfd.xn--p1ai", "日本語.jp": "xn--wgv71a119e.jp", "straße.de": "strasse.de", "ü.ü.com": "xn--tda.xn--tda.com", "Host.Test.": "host.test",
+    "0x7f.1": "127.0.0.1", "3232235521": "192.168.0.1", "0300.0250.1": "192.168.0.1", "08.1": "08.1", "1.2.3.4.5": "1.2.3.4.5", "[::1]": "::1", "[2001:db8:0:0:1:0:0:1]": "2001:db8::1:0:0:1", "[::]": "::", "[1:0:0:2:0:0:0:3]": "1:0:0:2::3",
+    "a..b": "", "x" * 64 + ".test": "",
+}
+
+
+def test_canonical_hosts(spark):
+    df = spark.createDataFrame([(k, f"https://u:p@{k}:8080/x") for k in HOSTS], "k string, u string")
+    assert {r.k: r.h for r in df.select("k", url.host("u").alias("h")).collect()} == HOSTS
+
+
+def test_normalize_literal(spark):
+    assert one(spark, url.normalize_url(F.lit("http://x.test/?q=~a"))) == "http://x.test?q=~a"
+    assert one(spark, url.normalize_url(F.lit("//x.test/a/"))) == "https://x.test/a"
+
+
 def test_other_keys(spark):
     assert one(spark, url.dedup_key(F.lit(URLS[0]))) == "https://example.test/a/b/?q=1&r=a%20b"
     assert one(spark, url.cache_identity(F.lit("HTTP://A.test:80?x=1#f"))) == "http://a.test/?x=1"
@@ -55,7 +72,8 @@ def test_glob_scope(spark):
     assert reject("https://b.test/docs/y") == "outside_origin"
     assert reject("https://s.a.test/docs/y", include_subdomains=True) is None
     assert reject("https://a.test/other") == "outside_seed_path"
-    assert reject("https://a.test/docs/p.pdf") == "unsupported_file_type"
+    assert reject("https://a.test/docs/p.pdf") is None and reject("https://a.test/docs/p.HTML") is None
+    assert reject("https://a.test/docs/p.zip") == "unsupported_file_type"
     assert reject("https://a.test/docs/z", exclude=("/docs/[x-z]",)) == "excluded_path"
     assert reject("https://a.test/docs/y?q", query_policy="exclude") == "query_excluded"
 
