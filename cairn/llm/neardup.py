@@ -99,7 +99,7 @@ def _signatures(df: DataFrame, n: int, buckets: int) -> DataFrame:
     return df.mapInArrow(scan, "id long, digest binary, part int, slot int, counts binary")
 
 
-def _folded(parts: DataFrame, keys: list[str], dtype: type, size: int, add: Callable) -> DataFrame:
+def folded(parts: DataFrame, keys: list[str], dtype: type, size: int, add: Callable) -> DataFrame:
     """One blob per key: a task streams the blobs of sorted keys and holds one running array."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +155,7 @@ def _order(signatures: DataFrame, buckets: int) -> Order:
     """Sum of the tasks' sketches, in two rounds, so that no task reads the parts of all others."""
     total = buckets + WORD_BUCKETS
     part = min(PART, total)
-    rows = _folded(_folded(signatures.filter("part IS NOT NULL"), ["part", "slot"], np.uint32, part, _capped_sum), ["part"], np.uint32, part, _capped_sum)
+    rows = folded(folded(signatures.filter("part IS NOT NULL"), ["part", "slot"], np.uint32, part, _capped_sum), ["part"], np.uint32, part, _capped_sum)
     counts = np.zeros(total, dtype=np.uint32)
     for row in rows.collect():  # total / part rows, whatever the input
         got = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint32)[: total - row.part * part]
@@ -293,7 +293,7 @@ def id_bits(pairs: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([slot], pa.int32()), pa.array([zlib.compress(bits[at * part : (at + 1) * part].tobytes(), 1)], pa.binary())], names=["part", "slot", "counts"])
 
     parts = pairs.mapInArrow(scan, "part int, slot int, counts binary")
-    rows = _folded(_folded(parts, ["part", "slot"], np.uint8, part, np.bitwise_or), ["part"], np.uint8, part, np.bitwise_or)
+    rows = folded(folded(parts, ["part", "slot"], np.uint8, part, np.bitwise_or), ["part"], np.uint8, part, np.bitwise_or)
     total = np.zeros(size // 8, dtype=np.uint8)
     for row in rows.collect():
         total[row.part * part : (row.part + 1) * part] = np.frombuffer(zlib.decompress(row.counts), dtype=np.uint8)

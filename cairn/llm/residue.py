@@ -18,21 +18,24 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.llm.maincontent import LABELS, MD_LINK, is_furniture
+from cairn.llm.maincontent import MD_LINK
+from cairn.llm.neardup import FAN, folded
 from cairn.session import checkpoint
 
 #: Drop rules that mark records of this kind.
 RULES = ("template_residue", "filler_text", "error_page", "script_notice")
-BUCKETS, ROUNDS, SMOOTH, CAP = 1 << 18, 5, 1.0, 6.0
+BUCKETS, PART, ROUNDS, SMOOTH, CAP = 1 << 18, 1 << 16, 5, 1.0, 6.0
 BORDER = 0.0
 
 FENCED = re.compile(r"(?ms)^\s*(```|~~~).*?(?:^\s*\1[^\n]*$|\Z)")
@@ -61,6 +64,50 @@ SHARING = re.compile(
 HEX = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}$")
 
 
+#: Wording of page furniture in English, German, French and Spanish. A consent, promotion or footer phrase
+#: needs the reader or the site as its subject, so that reports about cookies or newsletters do not match.
+CONSENT_TOPIC = r"cookies?|trackers?|traceurs?|consent|partners store|partenaires enregistrent|socios guardan|partner speichern|privatsph|privacy matters|vie privée|privacidad|save[sd]? preferences|einwilligung"
+CONSENT_VOICE = r"\b(?:we|our|us|your?|this site|ce site|este sitio|nous|vous|votre|vos|su|nos|acepta|elija|usamos|utilizamos|ihre[mnrs]?|sie|wir|uns|diese website|choose|accept|help us)\b"
+PHRASES = (
+    r"store (?:and access )?information on your device", r"enregistrent des données sur votre", r"guardan datos en su", r"speichern .{0,40}auf ihrem gerät", r"stimmen sie .{0,40}zu\b", r"some cookies are needed",
+    r"certains cookies sont", r"algunas cookies son", r"einige cookies sind",
+    r"like what you read", r"sign up for our", r"subscribe (?:to|for|now)", r"you have \d+ free articles?", r"free articles left", r"^support \S+ from", r"cents a day", r"in your inbox", r"^article continues below", r"^advertisement$", r"^sponsored",
+    r"inscrivez-vous", r"abonnez-vous", r"recevez chaque", r"il vous reste \d+ articles?", r"^soutenez", r"centimes par jour", r"la suite de l'article", r"^publicité$", r"vous aimez ce que",
+    r"suscríbase", r"reciba cada", r"le quedan \d+ artículos?", r"^apoye", r"céntimos al día", r"el artículo continúa", r"^publicidad$", r"le gusta lo que",
+    r"jetzt den .{0,30}bestellen", r"newsletter bestellen", r"jede woche per e-?mail", r"sie haben noch \d+ freie", r"^unterstützen sie", r"cent (?:am|pro) tag", r"artikel geht .{0,20}weiter", r"^anzeige$", r"gefällt ihnen",
+    r"^©", r"^\(c\) \d{4}", r"^copyright\b", r"^all rights reserved", r"^tous droits réservés", r"^todos los derechos reservados", r"^alle rechte vorbehalten", r"^powered by", r"^registered office", r"^follow us on",
+    r"not responsible for the content of external", r"n'est pas responsable des sites", r"no responde de los sitios", r"für inhalte fremder", r"haftet .{0,30}nicht\.?$", r"^privacy policy\s*[·|]", r"^impressum\s*[·|]", r"^mentions légales\s*[·|]", r"^aviso legal\s*[·|]",
+    r"^back to top", r"^haut de page", r"^nach oben", r"^volver arriba", r"^siège social", r"^domicilio social", r"^sitz der gesellschaft", r"^propulsé par", r"^suivez-nous", r"^síganos", r"^folgen sie uns",
+)
+#: Labels over lists of other articles.
+LABELS = re.compile(
+    r"^(?:related (?:stories|articles|posts|content)|you may also like|most read|most popular|more from .{0,40}|latest|read (?:more|next|also)|à lire aussi|les plus lus|sur le même thème|meistgelesen|mehr zum thema.{0,40}|das könnte sie (?:auch )?interessieren|lo más leído|le puede interesar|más sobre .{0,40}|table of contents|share this page|comments?)\W*$",
+    re.I,
+)
+FURNITURE = re.compile("|".join(PHRASES), re.I)
+TOPIC, VOICE = re.compile(CONSENT_TOPIC, re.I), re.compile(CONSENT_VOICE, re.I)
+
+
+def _triggers() -> ahocorasick.Automaton:
+    """One plain substring of every phrase and topic: a line without any of them needs no pattern."""
+    found = ahocorasick.Automaton()
+    for pattern in (*PHRASES, *CONSENT_TOPIC.split("|")):
+        plain = re.findall(r"[^\W\d_][^\W\d_' -]*(?:[ '-][^\W\d_]+)*", re.sub(r"\\.|\[.*?\]\??|\(\?:.*?\)\??|.[?*]|\{.*?\}", "\0", pattern)) or ["©"]
+        literal = max(plain, key=len) if len(max(plain, key=len)) > 2 else "(c)"
+        found.add_word(literal, literal)
+    found.make_automaton()
+    return found
+
+
+TRIGGERS = _triggers()
+
+
+def is_furniture(sentence: str) -> bool:
+    if next(TRIGGERS.iter(sentence.lower()), None) is None:
+        return False
+    return bool(FURNITURE.search(sentence)) or bool(TOPIC.search(sentence) and VOICE.search(sentence))
+
+
 def _is_menu(lines: list[str]) -> bool:
     """A block of page furniture: separators of menus and paths, sharing prompts, or several short labels."""
     if any(is_furniture(x) for x in lines) or LABELS.match(lines[0]):
@@ -167,14 +214,18 @@ def _sum_counts(prepared: DataFrame, model: np.ndarray | None, prior: float) ->
                         neg[at] += 1 - w
                     n[0] += w
                     n[1] += 1 - w
-        blob = zlib.compress(pos.tobytes(), 1), zlib.compress(neg.tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([blob[0]], pa.binary()), pa.array([blob[1]], pa.binary()), pa.array([n[0]]), pa.array([n[1]])], names=["pos", "neg", "a", "b"])
+        for part in range(BUCKETS // PART):
+            cut = slice(part * PART, (part + 1) * PART)
+            sums = zlib.compress(np.concatenate([pos[cut], neg[cut], [n[0], n[1]] if part == 0 else [0.0, 0.0]]).astype(np.float64).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([sums], pa.binary())], names=["part", "slot", "counts"])
 
+    parts = prepared.select("label", "lists").mapInArrow(scan, "part int, slot int, counts binary")
+    size = 2 * PART + 2
     pos, neg, a, b = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
-    for row in prepared.select("label", "lists").mapInArrow(scan, "pos binary, neg binary, a double, b double").toLocalIterator():
-        pos += np.frombuffer(zlib.decompress(row.pos), dtype=np.float32)
-        neg += np.frombuffer(zlib.decompress(row.neg), dtype=np.float32)
-        a, b = a + row.a, b + row.b
+    for row in folded(folded(parts, ["part", "slot"], np.float64, size, np.add), ["part"], np.float64, size, np.add).collect():  # BUCKETS / PART rows
+        sums = np.frombuffer(zlib.decompress(row.counts), dtype=np.float64)
+        pos[row.part * PART : (row.part + 1) * PART], neg[row.part * PART : (row.part + 1) * PART] = sums[:PART], sums[PART : 2 * PART]
+        a, b = a + float(sums[-2]), b + float(sums[-1])
     return pos, neg, a, b
 
 
@@ -204,26 +255,48 @@ def train(evidence: DataFrame, text_col: str = "text", rule_col: str = "expected
     return model, prior
 
 
+class Scorer:
+    """Score of a text's most likely passage and that passage. Scores of passages are remembered (bounded), as many recur."""
+
+    def __init__(self, model: np.ndarray, prior: float, limit: int = 200_000):
+        self.model, self.prior, self.limit = model, prior, limit
+        self.known: dict[str, float] = {}
+
+    def __call__(self, text: str | None) -> tuple[float, str | None]:
+        if len(self.known) > self.limit:
+            self.known.clear()
+        top, own = -1e9, None
+        for p in passages(text):
+            s = self.known.get(p)
+            if s is None:
+                s = self.known[p] = self.prior + float(self.model[features(p)].sum())
+            if s > top:
+                top, own = s, p
+        return top, own
+
+
+def case_test(spark: SparkSession, model: np.ndarray, prior: float, border: float = BORDER) -> Callable[[], Callable[[str], bool]]:
+    """What makes, in a task, the test whether a text is a case."""
+    shared = spark.sparkContext.broadcast((model, prior))
+
+    def make() -> Callable[[str], bool]:
+        score = Scorer(*shared.value)
+        return lambda text: score(text)[0] > border
+
+    return make
+
+
 def score_records(df: DataFrame, key_cols: list[str], text_col: str, model: np.ndarray, prior: float) -> DataFrame:
     """Key columns, ``score`` (log-odds of the most likely passage) and that passage, for records with any passage."""
     shared = df.sparkSession.sparkContext.broadcast((model, prior))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights, base = shared.value
+        score = Scorer(*shared.value)
         for batch in batches:
-            best, texts, keep = [], [], []
-            for t in batch["_text"]:
-                top, own = -1e9, None
-                for p in passages(t):
-                    s = base + float(weights[features(p)].sum())
-                    if s > top:
-                        top, own = s, p
-                keep.append(own is not None)
-                best.append(top)
-                texts.append(own)
+            found = [score(t) for t in batch["_text"]]
             out = batch[key_cols].copy()
-            out["score"], out["passage"] = best, texts
-            yield out[np.array(keep, dtype=bool)] if keep else out
+            out["score"], out["passage"] = [f[0] for f in found], [f[1] for f in found]
+            yield out[np.array([f[1] is not None for f in found], dtype=bool)] if found else out
 
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key_cols) + ", score double, passage string"
     return df.select(*key_cols, F.col(text_col).alias("_text")).mapInPandas(run, schema)

@@ -132,17 +132,36 @@ def test_survivors(spark):
 BODY = "[Home](/home) | [Help](/help)\n\n# A title\n\nThe council opened a new bridge near the harbour last week.\n\nWe use cookies to keep this site running and to count visits.\nAccept all Reject\n\n- The first item of the list says something.\n- [Outside](https://o.test/x)\n\n| a | b |\n|---|---|\n| c | d |\n\nThe regulator asked 9 sites how long a cookie stays on the device.\n\nShare this page\nPrint\n\nRelated stories\n1. Another title here\n\n© 2024 Some Media. All rights reserved."
 
 
-def test_markdown_lines():
-    assert maincontent.article_lines(BODY, False) == [3, 5, 10, 11, 13, 15, 17]
-    assert maincontent.article_lines(None, False) == maincontent.article_lines(" \n ", True) == []
-    assert maincontent.article_lines("The one line of a very long text goes on. " * 3000, False) == [1]
+@pytest.fixture(scope="module")
+def line_model(spark):
+    return maincontent.train(spark.read.parquet("/root/testdata/sf0.01/page_cache.parquet"), "record_id", "raw_html")
 
 
-def test_html_lines(spark):
-    page = "<html><head><title>Some title of the page here.</title>\n<script>var x = 'A sentence that is long enough.';</script></head>\n<body><nav>\n<a href='/x'>Home</a></nav>\n<h1>Title</h1>\n<p>The council opened a new bridge near the harbour.</p>\n<p>Powered by Engine 5</p>\n<p>Broken <b>markup still counts as a sentence of text.\n</body>"
-    assert maincontent.article_lines(page, True) == [5, 6, 8]
+def test_markdown_lines(line_model):
+    assert maincontent.article_lines(BODY, False, line_model) == [3, 5, 10, 11, 13, 15, 17]
+    assert maincontent.article_lines(None, False, line_model) == maincontent.article_lines(" \n ", True, line_model) == []
+    assert maincontent.article_lines("The one line of a very long text goes on. " * 3000, False, line_model) == [1]
+
+
+def test_html_lines(spark, line_model):
+    page = "<html><head><title>Some title of the page here.</title>\n<script>var x = 'A sentence that is long enough.';</script></head>\n<body><nav>\n<a href='/x'>Home</a></nav>\n<h1>The harbour notes</h1>\n<p>The council opened a new bridge near the harbour.</p>\n<p>Back to top</p>\n<p>Broken <b>markup still counts as a sentence of text.\n</body>"
+    assert maincontent.article_lines(page, True, line_model) == [5, 6, 8]
     df = spark.createDataFrame([(1, page, "z"), (1, page, "z"), (2, None, "z")], "id long, body string, line_no string")
-    assert sorted(map(tuple, maincontent.extract_lines(df, ["id"], "body", True).collect())) == [(1, k) for k in (5, 5, 6, 6, 8, 8)]
+    assert sorted(map(tuple, maincontent.extract_lines(df, ["id"], "body", True, line_model).collect())) == [(1, k) for k in (5, 5, 6, 6, 8, 8)]
+    skipped = maincontent.extract_lines(df, ["id"], "body", True, line_model, lambda: lambda text: True)
+    assert skipped.count() == 0
+
+
+def test_clusters_and_wording_decide(spark, line_model):
+    """Without the border nearly all lines with any text come in; a model that knows no marked page decides by ratios alone."""
+    bodies = [r.markdown for r in spark.read.parquet("/root/testdata/sf0.01/page_cache.parquet").select("markdown").collect() if r.markdown]
+    lines = lambda m: {(k, n) for k, b in enumerate(bodies) for n in maincontent.article_lines(b, False, m)}
+    own = lines(line_model)
+    open_border = lines(maincontent.LineModel(line_model.weights, line_model.prior, 0.0))
+    assert own < open_border and len(open_border) > 1.05 * len(own)
+    blind = maincontent.train(spark.createDataFrame([(1, "<p>One unmarked page is all there is.</p>")], "id long, h string"), "id", "h")
+    assert not blind.weights.any() and maincontent.article_lines("A sentence of several words.", False, blind) == [1]
+    assert maincontent.train(spark.createDataFrame([], "id long, h string"), "id", "h").border > 0
 
 
 # -- residue -----------------------------------------------------------------------------------------------------------
