@@ -49,10 +49,12 @@ def search(hits: DataFrame, page_cache: DataFrame, text: str, profile: Profile |
     """
     p = PROFILES[profile] if isinstance(profile, str) else profile
     found = discovery.normal_hits(hits, F.coalesce(F.try_element_at("positions", F.lit(1)), F.lit(1)))
-    candidates = discovery.domain_decisions(found, blocked, allowed).filter("filtered_reason IS NULL")
+    merged = discovery.merged_candidates(found, "result_id")
+    candidates = discovery.domain_decisions(merged, blocked, allowed).filter("filtered_reason IS NULL")
     query = F.lit(text)
-    scored = discovery.with_lexical(candidates, query).filter("lexical_score > 0").withColumn("search", F.lit(1))
-    selected = discovery.select_urls(scored, "search", "result_id", p.max_urls)
+    scored = discovery.with_lexical(candidates, query).withColumn("search", F.lit(1))
+    listed = None if allowed is None else allowed.select("host").distinct().limit(2).count()
+    selected = discovery.select_urls(scored, "search", "result_id", p.max_urls, allowed=listed)
     urls = selected.select(normalize_url("url").alias("_key"), "choice").groupBy("_key").agg(F.min("choice").alias("choice"))
     newest = fetched(page_cache).join(F.broadcast(urls), "_key").groupBy("_key").agg(F.max_by(F.struct("record_id", "markdown", "title", "requested_url", "choice"), F.struct("fetched_at", "record_id")).alias("p")).select("p.*")
     return SearchFrames(selected, *answer(newest, text, p))

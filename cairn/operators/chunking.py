@@ -2,8 +2,9 @@
 
 Segments come from separators tried from paragraph to character. With vectors, neighbouring segments are grouped so that
 the summed similarity inside chunks is greatest, none exceeds the limit, and none but the last is below the minimum where
-that is possible (prefix sums make each range a constant-time lookup). Long documents break greedily where similarity is
-below its 25th percentile; without vectors the grouping goes by size alone.
+that is possible. The sum of a range's similarities follows from the running sums of the vectors, so no matrix of all pairs
+is needed and documents of any length are grouped alike; only with ``max_segments`` longer ones break greedily where
+similarity is below its 25th percentile. Without vectors the grouping goes by size alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,14 @@ from pyspark.sql import types as T
 
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 STRATEGIES = {"cluster-semantic@1": (400, 50, 50)}  # largest chunk, smallest chunk, segment size, in words
-MAX_SEGMENTS = 2000
+
+
+def strategy_columns(version: Column, largest: Column, smallest: Column, segment: Column) -> tuple[Column, Column, Column]:
+    """``resolve_strategy`` as expressions."""
+    base = STRATEGIES["cluster-semantic@1"]
+    of = lambda k: F.coalesce(*[F.when(version == v, sizes[k]) for v, sizes in STRATEGIES.items()], F.lit(base[k]))
+    top, low, seg = [F.when(c > 0, c).otherwise(of(k)) for k, c in enumerate((largest, smallest, segment))]
+    return top, F.least(low, top), F.least(seg, top)
 
 
 def resolve_strategy(version: str | None, largest: int | None, smallest: int | None, segment: int | None) -> tuple[int, int, int]:
@@ -68,6 +76,60 @@ def segments(text: str, size: int, level: int = 0, start: int = 0) -> list[tuple
     return out
 
 
+def force_split(text: str, chars: int) -> list[str]:
+    """Pieces of at most ``chars`` characters for texts without separators, cut behind the last blank where there is one."""
+    out, at = [], 0
+    while at < len(text):
+        end = min(at + max(1, chars), len(text))
+        blank = text.rfind(" ", at, end) if end < len(text) else -1
+        end = blank + 1 if blank > at else end
+        out.append(text[at:end])
+        at = end
+    return out
+
+
+def overlapping(sizes: list[int], largest: int, overlap: int) -> list[tuple[int, int]]:
+    """Ranges of segments filled up to ``largest`` words; each begins with the last segments of the one before that hold at most ``overlap``.
+
+    A range that cannot take the overlap and its next segment begins with that segment.
+    """
+    out, start, k, used = [], 0, 0, 0
+    while k < len(sizes):
+        if k > start and used + sizes[k] > largest:
+            out.append((start, k))
+            back, carried = k, 0
+            while back > start + 1 and carried + sizes[back - 1] <= overlap and carried + sizes[back - 1] + sizes[k] <= largest:
+                back -= 1
+                carried += sizes[back]
+            start, used = back, carried
+        used += sizes[k]
+        k += 1
+    return [*out, (start, len(sizes))] if sizes else out
+
+
+def overlap_chunks(df: DataFrame, id_col: str, text_col: str, segment: int, largest: int, overlap: int, piece_chars: int = 2000) -> DataFrame:
+    """id, chunk_no, start_index, end_index, token_count of recursive segments merged with overlap; longer words are force-split."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b["_id"], b["_t"], strict=True):
+                spans = []
+                for a, z in segments(text or "", segment):
+                    for piece in force_split(text[a:z], piece_chars):
+                        spans.append((a, a + len(piece)))
+                        a += len(piece)
+                sizes = [words(text[a:z]) for a, z in spans]
+                for x, y in overlapping(sizes, largest, overlap):
+                    rows.append((key, 0, spans[x][0], spans[y - 1][1], sum(sizes[x:y])))
+            out = pd.DataFrame(rows, columns=[id_col, "chunk_no", "start_index", "end_index", "token_count"])
+            out["chunk_no"] = out.groupby(id_col, dropna=False).cumcount() if len(out) else out["chunk_no"]
+            yield out
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInPandas(run, f"{id_col} {kind}, chunk_no int, start_index int, end_index int, token_count int")
+
+
 def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
     """Deterministic unit vectors of word counts in hashed dimensions; a stand-in for an embedding model."""
     out = np.zeros((len(texts), dim), dtype=np.float64)
@@ -82,10 +144,8 @@ def hashed_vectors(texts: list[str], dim: int = 64) -> np.ndarray:
 def best_groups(vectors: np.ndarray, sizes: list[int], largest: int, smallest: int) -> list[tuple[int, int]] | None:
     """Ranges with the greatest sum of similarities inside them; None if no range of one segment fits."""
     n = len(sizes)
-    sim = vectors @ vectors.T
-    area = np.zeros((n + 1, n + 1))
-    area[1:, 1:] = sim.cumsum(0).cumsum(1)
-    trace = np.concatenate([[0], np.cumsum(np.diag(sim))])
+    sums = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors, axis=0)])
+    own = np.concatenate([[0], np.cumsum((vectors * vectors).sum(axis=1))])
     total = np.concatenate([[0], np.cumsum(sizes)])
     best, back = [-np.inf] * (n + 1), [-1] * (n + 1)
     best[0] = 0.0
@@ -96,8 +156,8 @@ def best_groups(vectors: np.ndarray, sizes: list[int], largest: int, smallest: i
                 break
             if best[start] == -np.inf or (size < smallest and end < n and best[end] > -np.inf):
                 continue
-            square = area[end, end] - area[start, end] - area[end, start] + area[start, start]
-            value = best[start] + (square - (trace[end] - trace[start])) / 2
+            inside = sums[end] - sums[start]
+            value = best[start] + (float(inside @ inside) - (own[end] - own[start])) / 2
             if size < smallest and end < n:
                 value -= 1e6  # only where nothing else reaches this point
             if value > best[end]:
@@ -124,7 +184,7 @@ def greedy_groups(sizes: list[int], largest: int, smallest: int, similarity: np.
     return [*out, (start, len(sizes))] if sizes else out
 
 
-def chunk(text: str | None, version: str | None = None, largest: int | None = None, smallest: int | None = None, segment: int | None = None, embed: Callable[[list[str]], np.ndarray] | None = hashed_vectors) -> list[tuple[int, int, int, str]]:
+def chunk(text: str | None, version: str | None = None, largest: int | None = None, smallest: int | None = None, segment: int | None = None, embed: Callable[[list[str]], np.ndarray] | None = hashed_vectors, max_segments: int | None = None) -> list[tuple[int, int, int, str]]:
     """(start, end, words, strategy) of each chunk; spans are exact, blank chunks are dropped."""
     if not text or not text.strip():
         return []
@@ -132,10 +192,13 @@ def chunk(text: str | None, version: str | None = None, largest: int | None = No
     spans = segments(text, seg)
     pieces = [text[a:b] for a, b in spans]
     sizes = [words(p) for p in pieces]
-    vectors = embed(pieces) if embed is not None else None
+    try:
+        vectors = embed(pieces) if embed is not None else None
+    except Exception:  # a failing model leaves the grouping to the sizes
+        vectors = None
     if vectors is None or len(vectors) != len(pieces):
         groups, label = greedy_groups(sizes, top, low), "greedy-tokens"
-    elif len(pieces) > MAX_SEGMENTS:
+    elif max_segments is not None and len(pieces) > max_segments:
         groups, label = greedy_groups(sizes, top, low, (vectors[:-1] * vectors[1:]).sum(axis=1)), "greedy-semantic"
     else:
         groups, label = best_groups(vectors, sizes, top, low), "semantic-dp"

@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
@@ -17,7 +18,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_INPUT, MAX_LINKS, MAX_TABLES, MAX_ROWS, MAX_CELLS = 1 << 20, 100, 20, 100, 1000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of what is taken from a page, for responses of bounded size; none by default. A page that meets one is ``truncated``."""
+
+    chars: int | None = None
+    links: int | None = None
+    tables: int | None = None
+    rows: int | None = None
+    cells: int | None = None
+    json_ld_bytes: int | None = None
+    items: int | None = None
+    per_field: int | None = None
+    candidates: int | None = None
+
+
+#: The bounds that an interactive service uses.
+SERVICE_LIMITS = Limits(1 << 20, 100, 20, 100, 1000, 1 << 16, 4, 8, 48)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNSEEN = frozenset("script style noscript template".split())
 #: Elements with an implied role.
@@ -119,8 +138,6 @@ def links(tree: Node, base: str) -> list[tuple]:
             continue
         if parts.scheme in ("http", "https") and parts.hostname:
             out.append((href, n.text(), n.attrs.get("title"), n.attrs.get("rel"), parts.hostname != home, n.start, n.end))
-            if len(out) == MAX_LINKS:
-                break
     return out
 
 
@@ -128,22 +145,21 @@ def _span(value: str | None) -> int:
     return min(100, max(1, int(value))) if value and value.strip().isdigit() else 1
 
 
-def tables(tree: Node) -> list[tuple]:
-    """(table, row, column, header, text, rowspan, colspan) of visible tables, up to the limits."""
-    out, found = [], [n for n in tree.walk() if n.tag == "table" and not n.hidden][:MAX_TABLES]
-    for k, table in enumerate(found):
-        rows = [n for n in table.walk() if n.tag == "tr" and not n.hidden][:MAX_ROWS]
+def tables(tree: Node, limits: Limits = Limits()) -> list[tuple]:  # noqa: B008
+    """(table, row, column, header, text, rowspan, colspan) of visible tables."""
+    out = []
+    for k, table in enumerate([n for n in tree.walk() if n.tag == "table" and not n.hidden][: limits.tables]):
         cells = 0
-        for r, row in enumerate(rows):
+        for r, row in enumerate([n for n in table.walk() if n.tag == "tr" and not n.hidden][: limits.rows]):
             for c, cell in enumerate(x for x in row.children if x.tag in ("td", "th")):
                 cells += 1
-                if cells <= MAX_CELLS:
+                if limits.cells is None or cells <= limits.cells:
                     out.append((k, r, c, cell.tag == "th", cell.text(), _span(cell.attrs.get("rowspan")), _span(cell.attrs.get("colspan"))))
     return out
 
 
-def flat(value: object, depth: int = 0) -> str | None:
-    """Text of a JSON-LD value: scalars, name/@value/@id of objects, up to four items of lists."""
+def flat(value: object, depth: int = 0, items: int | None = None) -> str | None:
+    """Text of a JSON-LD value: scalars, name/@value/@id of objects, the items of lists (the first ``items``)."""
     if depth > 4 or value is None or isinstance(value, bool):
         return None
     if isinstance(value, str):
@@ -151,20 +167,20 @@ def flat(value: object, depth: int = 0) -> str | None:
     if isinstance(value, (int, float)):
         return str(value) if value == value and abs(value) != float("inf") else None
     if isinstance(value, list):
-        parts = [x for x in (flat(v, depth + 1) for v in value[:4]) if x]
+        parts = [x for x in (flat(v, depth + 1, items) for v in value[:items]) if x]
         return ", ".join(parts) or None
     if isinstance(value, dict):
-        return next((x for x in (flat(value.get(k), depth + 1) for k in ("name", "@value", "@id")) if x), None)
+        return next((x for x in (flat(value.get(k), depth + 1, items) for k in ("name", "@value", "@id")) if x), None)
     return None
 
 
-def json_ld(tree: Node) -> list[dict]:
-    """Article and product objects of JSON-LD scripts of up to 64 KiB, @graph included."""
+def json_ld(tree: Node, limits: Limits = Limits()) -> list[dict]:  # noqa: B008
+    """Article and product objects of JSON-LD scripts, @graph included."""
     out = []
     for n in tree.walk():
         if n.tag == "script" and "ld+json" in n.attrs.get("type", ""):
             body = "".join(x for x in n.texts if isinstance(x, str))
-            if len(body.encode()) > 1 << 16:
+            if limits.json_ld_bytes is not None and len(body.encode("utf-8", "surrogatepass")) > limits.json_ld_bytes:
                 continue
             try:
                 roots = json.loads(body)
@@ -180,14 +196,19 @@ def json_ld(tree: Node) -> list[dict]:
     return out
 
 
-def metadata(tree: Node, base: str) -> list[tuple[str, str, str]]:
+def metadata(tree: Node, base: str, limits: Limits = Limits()) -> list[tuple[str, str, str]]:  # noqa: B008
     """(field, value, source) candidates from title, language, meta, canonical links and JSON-LD; repeated ones once."""
-    out = []
+    out: list[tuple[str, str, str]] = []
+    known: set[tuple[str, str, str]] = set()
+    per_field: dict[str, int] = {}
 
     def add(field: str, value: object, source: str) -> None:
-        text = flat(value)
-        if text and (field, text, source) not in out and sum(f == field for f, _, _ in out) < 8 and len(out) < 48:
-            out.append((field, " ".join(text.split()), source))
+        text = " ".join((flat(value, items=limits.items) or "").split())
+        full = (limits.per_field is not None and per_field.get(field, 0) >= limits.per_field) or (limits.candidates is not None and len(out) >= limits.candidates)
+        if text and (field, text, source) not in known and not full:
+            known.add((field, text, source))
+            per_field[field] = per_field.get(field, 0) + 1
+            out.append((field, text, source))
 
     for n in tree.walk():
         if n.tag == "title" and n.parent is not None and n.parent.tag in ("head", "html", ""):
@@ -202,7 +223,7 @@ def metadata(tree: Node, base: str) -> list[tuple[str, str, str]]:
             target = urljoin(base, n.attrs.get("href", ""))
             if urlsplit(target).scheme in ("http", "https"):
                 add("declared_canonical_url", target, "html_canonical")
-    for x in json_ld(tree):
+    for x in json_ld(tree, limits):
         for field, keys in (("title", ("headline", "name")), ("author", ("author",)), ("published_at", ("datePublished",)), ("modified_at", ("dateModified",)), ("language", ("inLanguage",)), ("declared_canonical_url", ("url",))):
             for k in keys:
                 add(field, x.get(k), "json_ld")
@@ -248,8 +269,11 @@ CELL = T.StructType([T.StructField(n, k) for n, k in (("table_no", T.IntegerType
 CANDIDATE = T.StructType([T.StructField(n, T.StringType()) for n in ("field_name", "value", "source")])
 
 
-def extract(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataFrame:
-    """id, status and the arrays ``links``, ``cells`` and ``candidates``; every page is parsed once."""
+def extract(pages: DataFrame, id_col: str, html_col: str, url_col: str, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """id, status and the arrays ``links``, ``cells`` and ``candidates``; every page is parsed once.
+
+    ``status``: ok, empty (no body), or truncated where one of ``limits`` left something out.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -258,10 +282,12 @@ def extract(pages: DataFrame, id_col: str, html_col: str, url_col: str) -> DataF
                 if not source or not source.strip():
                     rows.append((key, "empty", [], [], []))
                     continue
-                tree = Tree(source[:MAX_INPUT]).root
+                tree = Tree(source[: limits.chars]).root
                 named = lambda kind, items: [dict(zip(kind.names, x, strict=True)) for x in items]
-                found = named(LINK, links(tree, base or "")), named(CELL, tables(tree)), named(CANDIDATE, metadata(tree, base or ""))
-                rows.append((key, "truncated" if len(source) > MAX_INPUT else "ok", *found))
+                every = links(tree, base or ""), tables(tree), metadata(tree, base or "")
+                kept = every if limits == Limits() else (every[0][: limits.links], tables(tree, limits), metadata(tree, base or "", limits))
+                cut = limits.chars is not None and len(source) > limits.chars or any(len(a) < len(b) for a, b in zip(kept, every, strict=True))
+                rows.append((key, "truncated" if cut else "ok", named(LINK, kept[0]), named(CELL, kept[1]), named(CANDIDATE, kept[2])))
             yield pd.DataFrame(rows, columns=[id_col, "status", "links", "cells", "candidates"])
 
     schema = T.StructType([T.StructField(id_col, pages.schema[id_col].dataType), T.StructField("status", T.StringType()), T.StructField("links", T.ArrayType(LINK)), T.StructField("cells", T.ArrayType(CELL)), T.StructField("candidates", T.ArrayType(CANDIDATE))])

@@ -31,9 +31,11 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one only where that setting is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Only a local session may do without that setting: it gets a folder of its own."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return shared or spark.sparkContext.getCheckpointDir()
 
@@ -44,6 +46,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def input_partitions(df: DataFrame, least: int = 1) -> int:
-    """Number of tasks worth starting for Python-heavy work over ``df``."""
-    return max(least, df.sparkSession.sparkContext.defaultParallelism)

@@ -20,6 +20,7 @@ def spark():
         SparkSession.builder.master("local[4]").appName("cairn-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", "/tmp/cairn-tests-checkpoint")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

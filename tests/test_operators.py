@@ -109,8 +109,8 @@ def test_pages(spark):
     assert fired[1] == ("b", True) and fired[4] == ("a", False) and fired[5] == (None, False)
     paced = pages.paced_starts(spark.createDataFrame([("h", k, a) for k, a in enumerate([0.0, 1.0, 9.0])], "h string, i int, a double"), "h", F.col("a"), "i", 4.0)
     assert [r.start_at for r in paced.orderBy("i").collect()] == [0.0, 4.0, 9.0]
-    assert pages.diff_lines("a\nb", "a\nc\r\nd", 10, 100, 10)["added"] == ["c", "d"] and pages.diff_lines("a", "a", 1, 1, 1) is None
-    assert pages.diff_lines("a\nb\nc", None, 2, 100, 10)["truncated"] and pages.first_copies(obs.filter("false"), "tag", "i").count() == 0
+    assert pages.diff_lines("a\nb", "a\nc\r\nd")["added"] == ["c", "d"] and pages.diff_lines("a", "a") is None
+    assert pages.diff_lines("a\nb\nc", None, 2)["truncated"] and pages.first_copies(obs.filter("false"), "tag", "i").count() == 0
 
 
 def test_chunking(spark):
@@ -148,7 +148,7 @@ def test_dp_is_best():
 
 
 def test_watch_reads_whole_page(spark):
-    filler = "<p>x</p>" * (html.MAX_INPUT // 8 + 1)
+    filler = "<p>x</p>" * ((1 << 20) // 8 + 1)
     rows = [(1, f"<body>{filler}<h1>Late</h1></body>"), (2, f"<body><h1>A</h1>{filler}<h1>B</h1></body>"), (3, "<body><h1>A</h1></body>"), (4, None)]
     got = {r.i: r.state for r in html.watch(spark.createDataFrame(rows, "i long, h string"), "i", "h", css="h1").collect()}
     assert got == {1: "found", 2: "ambiguous", 3: "found", 4: "missing"}
@@ -204,9 +204,9 @@ def test_html():
 
 
 def test_contract(spark):
-    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "string"}}}, "required": ["a"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "string"}}}, "required": ["a"]}
     contract.check_schema(schema)
-    assert contract.failures(schema, {"b": [1], "c": 2}) == [("/a", "required"), ("/c", "additional"), ("/b/0", "type")]
+    assert contract.failures(schema, {"b": [1], "c": 2}) == [("/a", "required_missing"), ("/c", "additional_property"), ("/b/0", "type_mismatch")]
     assert contract.leaves({"x/y": [1, {"~": None}]}) == [("/x~1y/0", 1), ("/x~1y/1/~0", None)]
     assert contract.supports(5, "about 5 of") and contract.supports(True, "Yes!") and not contract.supports("", "x")
     df = spark.createDataFrame([(1, json.dumps({"a": 3}), json.dumps({"/a": "has 3"}), "it has 3"), (2, "{", "{}", "x"), (3, json.dumps({"a": 4}), "{}", "x")], "i int, d string, e string, m string")

@@ -33,7 +33,7 @@ def test_search_end_to_end(spark):
     pages = [page(1, "Old. " + said, "https://a.test/x", 1.0), page(2, "New. " + said, "https://a.test/x", 2.0), page(3, said, "https://b.test/y"), page(4, said, "https://blocked.test/z"), page(5, said, "https://unlisted.test/u")]
     hits = [(1, "q", "Weekly report", "https://a.test/x#part", "", "e", ["e"], [1], 0.9), (2, "q", "", "https://b.test/y", "harbour", None, ["f"], [2], None), (3, "q", "Harbour", "https://blocked.test/z", "", "g", ["g"], [3], 0.8), (4, "q", "Nothing", "https://c.test/w", "", "h", ["h"], [4], 1.0)]
     found = engine.search(spark.createDataFrame(hits, HIT), spark.createDataFrame(pages, PAGE), text, "quick", blocked=spark.createDataFrame([("blocked.test",)], "host string"))
-    assert {r.result_id for r in found.selected.collect()} == {1, 2}
+    assert {r.result_id for r in found.selected.collect()} == {1, 2, 4}  # a hit without a word of the query stays, with score 0
     passages = found.passages.collect()
     assert {r.record_id for r in passages} == {2, 3} and all("harbour" in r.text for r in passages)
     assert {r.document_id for r in passages} == {r.citation_key for r in found.citations.collect()} and {r.citation_id for r in passages} == {1, 2}
