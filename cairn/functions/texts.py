@@ -37,6 +37,12 @@ def cut_words(text: Column, n: Column) -> Column:
     return F.call_function("regexp_extract", text, F.concat(F.lit(r"^(\s*(?:\S+\s+){0,"), F.greatest(n - 1, F.lit(0)).cast("string"), F.lit(r"}\S+)")), F.lit(1))
 
 
+def preclean(text: Column, source_type: Column) -> Column:
+    """Web Markdown without lines that hold only an image and with single blank lines; all texts trimmed."""
+    web = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*!\[[^\]]*\]\([^)]*\)\s*$", ""), "\n{3,}", "\n\n")
+    return F.regexp_replace(F.when(source_type == "WEB_MARKDOWN", web).otherwise(text), r"^\s+|\s+$", "")
+
+
 def strict_instant(value: Column) -> Column:
     """Date-only, ISO with an offset, or RFC 2822 text as a timestamp; anything without a zone is null."""
     v = F.trim(value)

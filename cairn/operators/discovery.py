@@ -54,6 +54,15 @@ def merge_hits(hits: DataFrame, id_col: str, set_col: str) -> DataFrame:
     return best.join(counted, "key", "left").select("key", "b.*", "n_hits", F.coalesce("n_contributions", F.lit(0)).alias("n_contributions"), F.coalesce("n_engines", F.lit(0)).alias("n_engines"))
 
 
+def merged_candidates(hits: DataFrame, id_col: str) -> DataFrame:
+    """One hit per normalised URL (highest score, then lowest id) with the engines of all its hits as ``contributions``."""
+    best = F.max_by(F.struct(id_col, "title", "url", "content", "engine", "score"), F.struct("score", -F.col(id_col)))
+    engines = F.array_distinct(F.flatten(F.collect_set(F.transform("contributions", lambda c: c["engine"]))))  # as many as there are engines
+    rows = hits.groupBy(normalize_url("url").alias("_key")).agg(best.alias("b"), engines.alias("_e"))
+    pairs = F.transform("_e", lambda e: F.struct(e.alias("engine"), F.lit(None).cast("int").alias("position")))
+    return rows.select("b.*", pairs.alias("contributions"))
+
+
 def engine_contributions(hits: DataFrame, top: int = 32) -> DataFrame:
     """Contributions per engine before merging, most first."""
     counts = hits.select(F.explode("contributions").alias("c")).groupBy(F.col("c.engine").alias("engine")).agg(F.count("*").alias("n"))
@@ -126,10 +135,11 @@ def choose(rows: Iterable[tuple], max_urls: int, per_host: int) -> dict[int, str
     return picked
 
 
-def select_urls(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6, per_host: int | None = None) -> DataFrame:
+def select_urls(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6, per_host: int | None = None, allowed: int | None = None) -> DataFrame:
     """The chosen hits of each query with the reason of their choice.
 
-    Without ``per_host``, a query whose hits lie on one host may take ``max_urls`` from it, others ``domain_limit``.
+    Without ``per_host``, a query whose hits lie on one host may take ``max_urls`` from it, others ``domain_limit``, where
+    ``allowed`` is the number of hosts on the allow list, if there is one.
 
     The greedy choice runs on a bounded share of each group that holds every row it can choose, so leaving out the others
     changes nothing. A row is chosen for a new engine only if all earlier rows with that engine are of a full host or a
@@ -138,7 +148,7 @@ def select_urls(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6,
     for the choice by score with any engine (``_e`` null); one for a new host is the first row of one of the first
     ``max_urls`` hosts. A URL has one host.
     """
-    cap = per_host or domain_limit(max_urls)
+    cap = per_host or domain_limit(max_urls, allowed)
     most = per_host or max_urls
     order = [*candidate_order(), F.col(id_col)]
     first = lambda *keys: F.row_number().over(Window.partitionBy(group_col, *keys).orderBy(*order))
@@ -162,3 +172,24 @@ def select_urls(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6,
 
     schema = T.StructType([few.schema[group_col], few.schema[id_col], few.schema["url"], few.schema["host"], T.StructField("selection_reason", T.StringType()), T.StructField("choice", T.IntegerType())])
     return few.groupBy(group_col).applyInPandas(pick, schema)
+
+
+def selection_decisions(hits: DataFrame, group_col: str, id_col: str, max_urls: int = 6, allowed: int | None = None) -> DataFrame:
+    """All candidates with ``selected``, ``selection_reason`` and ``filtered_reason`` (``domain_cap`` or ``rank_cap``).
+
+    Other hits of a selected URL are no decisions of their own and are left out. What is selected is counted per host
+    before it is joined, so the joins carry a few rows per query.
+    """
+    chosen = select_urls(hits, group_col, id_col, max_urls, allowed=allowed).select(group_col, id_col, "url", "host", "selection_reason")
+    key = F.col(group_col).eqNullSafe(F.col("_g"))
+    own = chosen.select(F.col(group_col).alias("_g"), F.col(id_col).alias("_id"), "selection_reason")
+    taken = chosen.select(F.col(group_col).alias("_g"), F.col("url").alias("_url")).distinct()
+    full = chosen.groupBy(F.col(group_col).alias("_g"), F.col("host").alias("_host")).agg(F.count("*").alias("_taken"))
+    hosts = hits.groupBy(F.col(group_col).alias("_g")).agg(F.when(F.count_distinct("host") > 1, domain_limit(max_urls, allowed)).otherwise(max_urls).alias("_limit"))
+    rows = hits.join(own, key & (F.col(id_col) == F.col("_id")), "left").drop("_g", "_id")
+    marked = taken.withColumn("_again", F.lit(True))
+    rows = rows.join(marked, key & (F.col("url") == F.col("_url")), "left").filter("selection_reason IS NOT NULL OR _again IS NULL").drop("_g", "_url", "_again")
+    rows = rows.join(full, key & F.col("host").eqNullSafe(F.col("_host")), "left").drop("_g", "_host")
+    rows = rows.join(hosts, key).drop("_g")
+    reason = F.when(F.col("selection_reason").isNull(), F.when(F.coalesce("_taken", F.lit(0)) >= F.col("_limit"), "domain_cap").otherwise("rank_cap"))
+    return rows.withColumn("selected", F.col("selection_reason").isNotNull()).withColumn("filtered_reason", reason).drop("_taken", "_limit")

@@ -65,3 +65,21 @@ def final_state(events: DataFrame, job_col: str, state_col: str, order: list[str
 def state_counts(records: DataFrame, states_col: str) -> DataFrame:
     """A record counts in every state it passed."""
     return records.select(F.explode(states_col).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
+
+
+def next_queued(jobs: DataFrame, scope_col: str, order: list[str], id_col: str) -> DataFrame:
+    """The first queued job of each scope, as an aggregation."""
+    return jobs.groupBy(scope_col).agg(F.min_by(id_col, F.struct(*order)).alias(id_col))
+
+
+def retries(failures: DataFrame, job_col: str, order: list[Column], base: float, most: float) -> DataFrame:
+    """Adds ``attempt`` and ``wait``: the pause doubles from ``base`` seconds with every attempt, up to ``most``."""
+    attempt = F.row_number().over(Window.partitionBy(job_col).orderBy(*order))
+    return failures.withColumn("attempt", attempt).withColumn("wait", F.least(F.lit(float(most)), base * F.pow(F.lit(2), F.least(F.col("attempt") - 1, F.lit(20)))))
+
+
+def read_jobs(jobs: DataFrame, results: DataFrame, job_col: str, result_col: str, at_col: str, deadline: Column) -> DataFrame:
+    """Jobs with their number of results and last arrival, expired ones told first."""
+    counts = results.groupBy(job_col).agg(F.count(result_col).alias("n_results"), F.max(at_col).alias("last_at"))
+    joined = jobs.join(counts, job_col, "left").withColumn("n_results", F.coalesce("n_results", F.lit(0)))
+    return joined.withColumn("state", F.when(F.col("last_at") < deadline, "expired").otherwise("running"))

@@ -81,6 +81,23 @@ def robots_rules(files: DataFrame, origin_col: str, body_col: str) -> DataFrame:
     return files.select(origin_col, body_col).mapInPandas(run, f"{origin_col} string, {RULES}")
 
 
+def robots_sitemaps(files: DataFrame, origin_col: str, body_col: str) -> DataFrame:
+    """origin, sitemap of every Sitemap line, whatever group it stands in."""
+    lines = F.regexp_extract_all(F.regexp_replace(F.col(body_col), "#[^\n]*", ""), F.lit(r"(?im)^[ \t]*sitemap[ \t]*:[ \t]*(\S+)"), F.lit(1))
+    return files.select(origin_col, F.explode(F.array_distinct(lines)).alias("sitemap"))
+
+
+def available_decisions(decisions: DataFrame, urls: DataFrame, id_col: str, url_col: str, states: DataFrame, origin_col: str) -> DataFrame:
+    """Decisions with the state of each origin's file: ``unreachable`` denies all, ``missing`` allows all, an unknown origin is unreachable.
+
+    ``states`` has the origin and ``state``, one row per origin.
+    """
+    known = states.groupBy(F.col(origin_col).alias("_o")).agg(F.max("state").alias("_s"))
+    rows = urls.select(id_col, host(url_col).alias("_o")).join(known, "_o", "left").join(decisions, id_col, "left")
+    allowed = F.when(F.coalesce("_s", F.lit("unreachable")) == "unreachable", False).when(F.col("_s") == "missing", True).otherwise(F.coalesce("allowed", F.lit(True)))
+    return rows.select(id_col, allowed.alias("allowed"))
+
+
 def robots_decisions(urls: DataFrame, id_col: str, url_col: str, rules: DataFrame, origin_col: str, agent: str) -> DataFrame:
     """id and ``allowed``: the longest matching rule wins, allow wins ties, no match allows.
 
@@ -104,11 +121,11 @@ def sitemap_order(entries: DataFrame, group_col: str, modified_col: str, priorit
     return ranked.filter(F.col("rank") <= keep).drop("_at", "_priority")
 
 
-def parse_sitemap(content: str | None, max_bytes: int = 10_000_000) -> tuple[str | None, list[tuple[str, str | None, str | None, int]], str | None]:
+def parse_sitemap(content: str | None, max_bytes: int | None = None) -> tuple[str | None, list[tuple[str, str | None, str | None, int]], str | None]:
     """(kind, entries (loc, lastmod, priority, order), reason of failure). Finds the document inside viewer markup."""
     if content is None:
         return None, [], "empty"
-    if len(content.encode()) > max_bytes:
+    if max_bytes is not None and len(content.encode("utf-8", "surrogatepass")) > max_bytes:
         return None, [], "body_too_large"
     if re.search(r"<!(?:DOCTYPE|ENTITY)", content, re.I):
         return None, [], "unsafe_xml"
@@ -172,7 +189,7 @@ def frontier(seeds: DataFrame, links: DataFrame, max_depth: int, max_urls: int |
     ``seeds`` has ``url``; ``links`` has ``source`` and ``target``. One join per level against what is known; each level
     is written to the shared checkpoint folder.
     """
-    edges = links.select(dedup_key("source").alias("s"), dedup_key("target").alias("key")).filter("s <> key").distinct()
+    edges = checkpoint(links.select(dedup_key("source").alias("s"), dedup_key("target").alias("key")).filter("s <> key").distinct())  # read once per level
     level = seeds.select(dedup_key("url").alias("key"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")).dropDuplicates(["key"])
     known = level = checkpoint(level)
     for depth in range(1, max_depth + 1):

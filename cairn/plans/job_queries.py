@@ -79,6 +79,22 @@ def robots_decision(t):
     return robots.robots_decisions(t.sitemap_entries, "entry_id", "url", robots.robots_rules(files, "origin", "body"), "origin", "cairn")
 
 
+@query(rf"""WITH u AS (SELECT entry_id, {_T} AS t, {_sql_host('url')} AS h FROM sitemap_entries)
+  SELECT entry_id, CASE WHEN s.state IS NULL OR s.state = 'unreachable' THEN false WHEN s.state = 'missing' THEN true ELSE NOT regexp_matches(t, '^/dienst/') END AS allowed
+  FROM u LEFT JOIN (SELECT host, CASE lang WHEN 'de' THEN 'unreachable' WHEN 'fr' THEN 'missing' ELSE 'available' END AS state FROM hosts WHERE lang <> 'es') s ON s.host = u.h""")
+def robots_availability(t):
+    state = F.when(F.col("lang") == "de", "unreachable").when(F.col("lang") == "fr", "missing").otherwise("available")
+    files = t.hosts.filter("lang <> 'es'").select(F.col("host").alias("origin"), F.lit("User-agent: *\nDisallow: /dienst/").alias("body"), state.alias("state"))
+    decided = robots.robots_decisions(t.sitemap_entries, "entry_id", "url", robots.robots_rules(files, "origin", "body"), "origin", "cairn")
+    return robots.available_decisions(decided, t.sitemap_entries, "entry_id", "url", files, "origin")
+
+
+@query("SELECT host, 'https://' || host || '/map.xml' AS sitemap FROM hosts")
+def robots_sitemaps(t):
+    body = F.concat(F.lit("User-agent: *\nDisallow:\n# Sitemap: no\nSITEMAP : https://"), F.col("host"), F.lit("/map.xml # main"))
+    return robots.robots_sitemaps(t.hosts.select("host", body.alias("body")), "host", "body")
+
+
 _AT = r"""CASE WHEN regexp_full_match(trim(modified_at), '\d{4}-\d{2}-\d{2}') THEN try_cast(trim(modified_at) AS TIMESTAMPTZ)
   WHEN regexp_full_match(trim(modified_at), '\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?(Z|z|[+-]\d{2}:?\d{2})') THEN try_cast(replace(regexp_replace(upper(trim(modified_at)), '([+-]\d{2})(\d{2})$', '\1:\2'), ',', '.') AS TIMESTAMPTZ)
   WHEN regexp_matches(regexp_replace(regexp_replace(trim(modified_at), '^[A-Za-z]{3}, ', ''), '(GMT|UTC|UT)$', '+0000'), '^\d{1,2} [A-Z][a-z]{2} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$') THEN try_strptime(regexp_replace(regexp_replace(trim(modified_at), '^[A-Za-z]{3}, ', ''), '(GMT|UTC|UT)$', '+0000'), '%d %b %Y %H:%M:%S %z') END"""
@@ -140,9 +156,16 @@ def greedy_chunks(t):
     return _chunks(t, None)
 
 
+@query()
+def overlap_chunks(t):
+    return chunking.overlap_chunks(t.chunk_requests, "request_id", "text", 20, 80, 20)
+
+
 @query()
 def section_asof(t):
-    h = chunking.section_headings(t.page_cache.filter("document_id IS NOT NULL").dropDuplicates(["document_id"]), "document_id", "markdown")
+    """Nearest heading at or above each passage, in the first page of its document."""
+    first = t.page_cache.filter("document_id IS NOT NULL").groupBy("document_id").agg(F.min("record_id").alias("record_id"))
+    h = chunking.section_headings(t.page_cache.join(first.select("record_id"), "record_id", "left_semi"), "document_id", "markdown")
     return chunking.nearest_heading(t.passages.select("passage_id", "document_id", "start_index"), h, "document_id", "start_index").select("passage_id", "nearest_heading")
 
 

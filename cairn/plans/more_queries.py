@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.functions import identity
-from cairn.operators import cleaning, robots
+from cairn.operators import chunking, cleaning, robots
 from cairn.plans.evidence_queries import _sql_netloc, _sql_part, _sql_query
 from cairn.plans.registry import query
 from cairn.sources import search
@@ -19,11 +19,14 @@ def cleaning_totals(t):
     return cleaning.totals(t.page_cache.filter("markdown IS NOT NULL"), "markdown", "host")
 
 
-@query("""WITH a AS (SELECT unnest(string_split(title, ' ')) AS w FROM page_cache WHERE title IS NOT NULL), b AS (SELECT unnest(string_split(title, ' ')) AS w FROM discovery_results WHERE title IS NOT NULL)
-  SELECT w, count(*) AS n FROM (SELECT w FROM a EXCEPT ALL SELECT w FROM b) GROUP BY w""")
+@query(rf"""WITH a AS (SELECT host, unnest(list_transform(string_split(replace(markdown, chr(13), ''), chr(10)), lambda x: rtrim(x))) AS line FROM page_cache WHERE markdown IS NOT NULL), b AS (SELECT host, unnest({_KEPT}) AS line FROM page_cache WHERE markdown IS NOT NULL)
+  SELECT host, count(*) AS n FROM (SELECT host, line FROM a EXCEPT ALL SELECT host, line FROM b) GROUP BY host""")
 def multiset_removed(t):
-    w = lambda df: df.filter("title IS NOT NULL").select(F.explode(F.split("title", " ")).alias("w"))
-    return cleaning.removed_lines(w(t.page_cache), w(t.discovery_results)).groupBy("w").agg(F.count("*").alias("n"))
+    """Lines that cleaning removes, with multiplicity, per host."""
+    p = t.page_cache.filter("markdown IS NOT NULL")
+    before = p.select("host", F.explode(F.transform(F.split(F.regexp_replace("markdown", "\r", ""), "\n"), lambda x: F.rtrim(x))).alias("line"))
+    after = p.select("host", F.explode(cleaning.kept_lines(F.col("markdown"))).alias("line"))
+    return cleaning.removed_lines(before, after).groupBy("host").agg(F.count("*").alias("n"))
 
 
 @query("""WITH p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY requested_url ORDER BY fetched_at DESC, record_id DESC) AS k FROM page_cache) WHERE k = 1)
@@ -44,9 +47,9 @@ def header_allowlist(t):
 @query("""WITH s AS (SELECT request_id, CASE WHEN params.max_chunk_tokens > 0 THEN params.max_chunk_tokens ELSE 400 END AS largest, CASE WHEN params.min_chunk_tokens > 0 THEN params.min_chunk_tokens ELSE 50 END AS low,
   CASE WHEN params.initial_segment_tokens > 0 THEN params.initial_segment_tokens ELSE 50 END AS seg FROM chunk_requests) SELECT request_id, largest, least(low, largest) AS smallest, least(seg, largest) AS segment FROM s""")
 def strategy_params(t):
-    size = lambda c, d: F.when(F.col(c) > 0, F.col(c)).otherwise(d)
-    top = size("params.max_chunk_tokens", 400)
-    return t.chunk_requests.select("request_id", top.alias("largest"), F.least(size("params.min_chunk_tokens", 50), top).alias("smallest"), F.least(size("params.initial_segment_tokens", 50), top).alias("segment"))
+    c = F.col
+    top, low, segment = chunking.strategy_columns(c("strategy_version"), c("params.max_chunk_tokens"), c("params.min_chunk_tokens"), c("params.initial_segment_tokens"))
+    return t.chunk_requests.select("request_id", top.alias("largest"), low.alias("smallest"), segment.alias("segment"))
 
 
 _KEY = "lower({0}) || '://' || {1} || {2} || CASE WHEN {3} = '' THEN '' ELSE '?' || {3} END"

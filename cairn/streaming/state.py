@@ -85,3 +85,11 @@ def upsert_batches(stream: DataFrame, path: str, key_col: str, at_col: str, id_c
         latest_versions(batch, key_col, at_col, id_col).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write)
+
+
+def write_pages_and_targets(pages: DataFrame, targets: DataFrame, path: str, batch_id: int, key_col: str = "cache_key", at_col: str = "at", id_col: str = "id") -> None:
+    """Both tables of one micro-batch in folders of the batch id: a repeated batch replaces both, so they stay together."""
+    from cairn.operators.pages import latest_versions
+
+    latest_versions(pages, key_col, at_col, id_col).write.mode("overwrite").parquet(f"{path}/pages/batch={batch_id}")
+    targets.write.mode("overwrite").parquet(f"{path}/targets/batch={batch_id}")

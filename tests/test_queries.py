@@ -3,9 +3,9 @@
 import pytest
 from conftest import DATA, compare
 
-from cairn.plans import data_queries, evidence_queries, job_queries, more_queries, page_queries, registry
+from cairn.plans import data_queries, evidence_queries, job_queries, more_queries, page_queries, registry, serving_queries
 
-assert evidence_queries and job_queries and more_queries and page_queries
+assert evidence_queries and job_queries and more_queries and page_queries and serving_queries
 
 
 @pytest.mark.parametrize("name", sorted(registry.SQL))
