@@ -29,8 +29,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reading that Viterbi chooses for rows with several instants, none of which is in p3_found."""
-    found = timestamps.resolved_instants(_time_rows(spark, sf_dir), load_table(spark, sf_dir, "hosts"), ["table_name", "host"], "row_id", "time_text")
+    """Rows whose digits allow two orders, decided by Viterbi alone: the order that ``hosts`` knows is withheld."""
+    hosts = load_table(spark, sf_dir, "hosts").withColumn("date_order", F.lit(None).cast("string"))
+    found = timestamps.resolved_instants(_time_rows(spark, sf_dir), hosts, ["table_name", "host"], "row_id", "time_text")
     return found.select("table_name", "row_id", "utc", "n_readings")
 
 
