@@ -74,11 +74,11 @@ def survivors(candidates: DataFrame, keys: list[str], priorities: DataFrame | No
     best = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_best.value").alias("_best"), stem(F.col("_best.value")).alias("_stem"))
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     value, its = F.col("value"), stem(F.col("value"))
-    longer = best.join(distinct.select(*keys, "value"), same, "inner").filter((F.length(its) > F.length("_stem")) & its.startswith(F.col("_stem")) & (F.length("_stem") > 0))
-    whole = longer.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.max(F.struct(F.length(its).alias("a"), (its == value).alias("b"), smaller_first(value).alias("c"), value.alias("value"))).alias("_w"))
-    whole = whole.select(*[F.col(f"_k{i}").alias(f"_w{i}") for i in range(len(keys))], F.col("_w.value").alias("_whole"))
-    met = [F.col(f"_k{i}").eqNullSafe(F.col(f"_w{i}")) for i in range(len(keys))]
-    return best.join(whole, met, "left").select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.coalesce("_whole", "_best").alias("value"))
+    longer = (F.length(its) > F.length("_stem")) & its.startswith(F.col("_stem")) & (F.length("_stem") > 0)
+    only = lambda c: F.when(longer, c)
+    whole = F.max(F.struct(longer.cast("int").alias("a"), only(F.length(its)).alias("b"), only(its == value).alias("c"), only(smaller_first(value)).alias("d"), F.when(longer, value).otherwise(F.col("_best")).alias("value")))
+    met = best.join(distinct.select(*keys, "value"), same).groupBy(*[F.col(f"_k{i}") for i in range(len(keys))]).agg(whole.alias("_w"))
+    return met.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], F.col("_w.value").alias("value"))
 
 
 def resolve_metadata(conflicts: DataFrame, sources: DataFrame) -> DataFrame:

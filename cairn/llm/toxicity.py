@@ -2,9 +2,10 @@
 
 Sentences become hashed word embeddings; filters of several widths run over them, the maximum of each filter over the
 sentence feeds a linear layer. A document's score is that of its worst sentence. Labels are per document and noisy, so
-training first pools over whole documents, then continues on sentences: the worst one of a toxic document against the
-sentences of clean documents, leaving out those the model contradicts most (rater errors). Thresholds are calibrated per
-language on labelled documents.
+training first picks suspects by the words of whole documents, then continues on sentences: the worst one of a toxic
+document against the sentences of clean documents. Models trained on folds score the documents they did not see; labels
+that these scores contradict are taken for rater errors and left out, and thresholds are calibrated on them per language.
+Every fit is a task of its own in an executor.
 
 Before hashing, disguises are undone: invisible characters, look-alike letters, digits for letters, stretched, spaced and
 dotted words. Names and numbers are masked; rare words share one id.
@@ -18,26 +19,30 @@ few labels use the common threshold; extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRAIN_ROWS = 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, WINDOW = 1 << 14, 24, 32, (1, 2, 3), 32
 UNKNOWN, NAME, NUMBER, EDGE = 1, 2, 3, 4
+STAGES, POSITIVES, EASY, FOLDS, DOUBT = 3, 1500, 5000, 3, 1.0
 MIN_LANG = 60  # labelled documents a language needs for its own threshold
 
 #: Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKE = str.maketrans("авеѕікморсухтнԁԛԝһјɡӏαοερτυνικВАЕЅІКМОРСТУХНЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abesikmopcyxthdqwhjglaoeptuvikBAESIKMOPCTYXHJABEZHIKMNOPTYX")
 #: Characters written for letters.
-LEET = str.maketrans("013457@$€!|", "oieastasei" + "l")
+LEET = str.maketrans("013457@$€!|", "oieastaseil")
 INVISIBLE = re.compile("[­​-‏⁠-⁤﻿᠎]")
 SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){3,}[^\W\d_](?!\w)")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
@@ -68,19 +73,41 @@ def word(raw: str, first: bool, shout: bool) -> str:
     return w.lower()
 
 
-def sentences(text: str | None) -> list[list[str]]:
+class WordForms:
+    """``word`` with the forms of recent tokens remembered (bounded)."""
+
+    def __init__(self, limit: int = 200_000):
+        self.kept: dict[str, str] = {}
+        self.masked: dict[str, str] = {}
+        self.limit = limit
+
+    def __call__(self, tokens: list[str], shout: bool) -> list[str]:
+        if len(self.kept) + len(self.masked) > self.limit:
+            self.kept.clear()
+            self.masked.clear()
+        out, known = [], self.kept
+        later = self.kept if shout else self.masked
+        for t in tokens:
+            w = known.get(t)
+            if w is None:
+                w = known[t] = word(t, known is self.kept, shout)
+            out.append(w)
+            known = later
+        return out
+
+
+def sentences(text: str | None, forms: WordForms | None = None) -> list[list[str]]:
     """Sentences of normal words; long ones in overlapping windows."""
     if not text:
         return []
-    out = []
+    out, forms = [], forms or WordForms()
     for s in SENTENCE.split(plain(text)):
         if not s:
             continue
         tokens = TOKEN.findall(DOTTED.sub("", s) if "." in s[:-1] or "*" in s or "#" in s else s)
         if not tokens:
             continue
-        shout = s.isupper()
-        words = [word(t, k == 0, shout) for k, t in enumerate(tokens)]
+        words = forms(tokens, s.isupper())
         if len(words) <= WINDOW:
             out.append(words)
         else:
@@ -216,11 +243,11 @@ class Classifier:
     """A trained network with its lexicon and thresholds."""
 
     def __init__(self, lexicon: Lexicon, net: Network, thresholds: dict[str, float], common: float):
-        self.lexicon, self.net, self.thresholds, self.common = lexicon, net, thresholds, common
+        self.lexicon, self.net, self.thresholds, self.common, self.forms = lexicon, net, thresholds, common, WordForms()
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Log-odds of each text's worst sentence; -30 without any words."""
-        docs = [sentences(t) for t in texts]
+        docs = [sentences(t, self.forms) for t in texts]
         known: dict[tuple[int, ...], int] = {}
         at, counts = [], []
         for d in docs:
@@ -244,64 +271,148 @@ def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] - 1e-3)
 
 
-def train(texts: list[str], langs: list[str | None], labels: list[float], seed: int = 7) -> Classifier | None:
-    """Fits the classifier; ``labels`` are mean ratings between 0 and 1. None without both kinds of labels."""
-    y = np.array([1.0 if x > 0.5 else 0.0 for x in labels])
-    docs = [sentences(t) for t in texts]
-    if not 0 < y.sum() < len(y):
+@dataclass
+class Sample:
+    """Labelled documents as id rows of their sentences: ``flat`` sentences, their document, the documents' labels."""
+
+    flat: list[list[int]]
+    owner: np.ndarray
+    y: np.ndarray
+
+    def counts(self) -> list[int]:
+        return np.bincount(self.owner, minlength=len(self.y)).tolist()
+
+    def part(self, keep: np.ndarray) -> Sample:
+        """The sample of the documents in the mask."""
+        place = np.cumsum(keep) - 1
+        own = keep[self.owner]
+        return Sample([x for x, ok in zip(self.flat, own.tolist(), strict=True) if ok], place[self.owner[own]], self.y[keep])
+
+    def document_scores(self, net: Network) -> np.ndarray:
+        return _document_max(score_sentences(net, self.flat), self.counts())
+
+
+def fit(sample: Sample, seed: int = 7) -> Network | None:
+    """Trains on documents, then on sentences: the worst of a toxic document against those of clean ones. None without both."""
+    y, flat, owner = sample.y, sample.flat, sample.owner
+    if not 0 < y.sum() < len(y) or not flat:
         return None
-    lexicon, net, rng = Lexicon(docs), Network(seed), np.random.default_rng(seed)
-    rows = [[lexicon(s) for s in d] for d in docs]
-    flat = [s for d in rows for s in d]
-    owner = np.repeat(np.arange(len(rows)), [len(d) for d in rows])
-    counts = [len(d) for d in rows]
+    net, rng = Network(seed), np.random.default_rng(seed)
     # A word's evidence of toxicity per document picks the first suspects among the sentences of toxic documents.
-    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for d, t in zip(rows, y, strict=True):
-        ids = np.unique([i for s in d for i in s]) if d else []
-        (pos if t else neg)[np.asarray(ids, dtype=int)] += 1
+    sentence_of = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
+    pairs = np.unique(owner[sentence_of] * np.int64(BUCKETS) + np.concatenate([np.asarray(x, dtype=np.int64) for x in flat]))
+    toxic = y[pairs // BUCKETS] > 0
+    pos, neg = np.bincount(pairs[toxic] % BUCKETS, minlength=BUCKETS), np.bincount(pairs[~toxic] % BUCKETS, minlength=BUCKETS)
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / (len(y) - y.sum() + 1))
     odds[: EDGE + 1] = 0
-    rough = np.array([np.sort(odds[s])[-4:].clip(0).sum() for s in flat])
-    target_positive = max(2000, min(4000, int(y.sum())))
-    for stage in range(4):
-        score = rough if stage == 0 else score_sentences(net, flat)
-        worst = _document_max(score, counts)
-        clean_top = np.quantile(worst[y == 0], 0.97) if (y == 0).any() else np.inf
-        first = np.array([-1] * len(rows))
-        for k in range(len(flat)):
-            d = owner[k]
-            if first[d] < 0 or score[k] > score[first[d]]:
-                first[d] = k
-        chosen = [first[d] for d in range(len(rows)) if y[d] and first[d] >= 0 and (stage == 0 or worst[d] > min(0.0, clean_top))]
-        if not chosen:
-            chosen = [first[d] for d in range(len(rows)) if y[d] and first[d] >= 0]
-        clean = np.flatnonzero((y[owner] == 0) & ((score < max(clean_top, 0.5)) if stage else np.ones(len(flat), bool)))
-        if not chosen or not len(clean):
+    score = np.array([np.sort(odds[x])[-4:].clip(0).sum() for x in flat])
+    for stage in range(STAGES):
+        if stage:
+            score = score_sentences(net, flat)
+        order = np.lexsort((score, owner))
+        last = np.flatnonzero(np.r_[owner[order][1:] != owner[order][:-1], True])
+        worst = order[last]  # per document with sentences its worst one
+        chosen = worst[y[owner[worst]] > 0]
+        clean = np.flatnonzero(y[owner] == 0)
+        if not len(chosen) or not len(clean):
             return None
         hard = clean[np.argsort(-score[clean])[: 4 * len(chosen)]]
-        repeat = max(1, round(target_positive / len(chosen)))
-        for _ in range(3 if stage == 0 else 2):
-            easy = rng.choice(clean, size=min(len(clean), 16_000), replace=False)
-            picked = np.concatenate([np.repeat(chosen, repeat), hard, easy])
-            goal = np.concatenate([np.ones(len(chosen) * repeat), np.zeros(len(hard) + len(easy))])
-            by_length = sorted(range(len(picked)), key=lambda k: (len(flat[picked[k]]) // 4, rng.random()))
+        repeat = max(1, round(POSITIVES / len(chosen)))
+        for _ in range(2):
+            easy = rng.choice(clean, size=min(len(clean), EASY), replace=False)
+            picked = np.concatenate([np.repeat(chosen, repeat), hard[:EASY], easy])
+            goal = np.concatenate([np.ones(len(chosen) * repeat), np.zeros(len(picked) - len(chosen) * repeat)])
+            lengths = np.array([len(flat[k]) for k in picked]) // 4
+            by_length = np.lexsort((rng.random(len(picked)), lengths))
             batches = [by_length[i : i + 128] for i in range(0, len(by_length), 128)]
             rng.shuffle(batches)
             for b in batches:
                 ids = padded([flat[picked[k]] for k in b], max(2, max(len(flat[picked[k]]) for k in b)))
                 net.step(ids, goal[b], np.ones(len(b)), 0.004 if stage < 2 else 0.0015, rng)
-    worst = _document_max(score_sentences(net, flat), counts)
-    common = best_threshold(worst, y)
-    thresholds = {}
+    return net
+
+
+def trusted(sample: Sample, held_out: np.ndarray) -> np.ndarray:
+    """Mask of the documents whose label the models trained without them do not contradict.
+
+    The border is the one with the highest F1 on the held-out scores; toxic documents well below it and clean ones above
+    it are taken for errors of their raters.
+    """
+    border = best_threshold(held_out, sample.y)
+    return np.where(sample.y > 0, held_out > border - DOUBT, held_out <= border + DOUBT)
+
+
+def calibrated(held_out: np.ndarray, y: np.ndarray, langs: list[str | None]) -> tuple[dict[str, float], float]:
+    """Thresholds per language and the common one, from scores of documents by models that did not see them."""
+    common, thresholds = best_threshold(held_out, y), {}
     for lang in {x or "" for x in langs}:
         mine = np.array([(x or "") == lang for x in langs])
         if mine.sum() >= MIN_LANG and min(y[mine].sum(), (1 - y[mine]).sum()) >= 15:
             share = mine.sum() / (mine.sum() + 400)
-            thresholds[lang] = share * best_threshold(worst[mine], y[mine]) + (1 - share) * common
+            thresholds[lang] = share * best_threshold(held_out[mine], y[mine]) + (1 - share) * common
+    return thresholds, common
+
+
+def encoded(texts: list[str], labels: list[float], lexicon: Lexicon | None = None) -> tuple[Sample, Lexicon]:
+    """Documents as a sample; ``labels`` are mean ratings between 0 and 1, ties count as clean."""
+    forms = WordForms()
+    docs = [sentences(t, forms) for t in texts]
+    lexicon = lexicon or Lexicon(docs)
+    return Sample([lexicon(x) for d in docs for x in d], np.repeat(np.arange(len(docs)), [len(d) for d in docs]), np.array([1.0 if x > 0.5 else 0.0 for x in labels])), lexicon
+
+
+def train(texts: list[str], langs: list[str | None], labels: list[float], run: Callable | None = None, folds: int = FOLDS) -> Classifier | None:
+    """The classifier; None without both kinds of labels.
+
+    ``run`` applies a function to each of some numbers and gives the results in order, by default one after the other here;
+    with Spark each fit is a task of its own. Folds score documents that their model did not see: these scores show rater
+    errors, and calibrate the thresholds.
+    """
+    sample, lexicon = encoded(texts, labels)
+    toxic = sample.y > 0
+    fold = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) % folds  # each fold has its share of both
+    run = run or (lambda f, numbers: [f(k) for k in numbers])
+
+    def held_out(k: int) -> np.ndarray | None:
+        net = fit(sample.part(fold != k))
+        return None if net is None else sample.part(fold == k).document_scores(net)
+
+    parts = run(held_out, range(folds))
+    if any(p is None for p in parts):
+        return None
+    scores = np.empty(len(sample.y))
+    for k, p in enumerate(parts):
+        scores[fold == k] = p
+    kept = trusted(sample, scores)
+
+    def whole(_: int) -> Network | None:
+        return fit(sample.part(kept))
+
+    (net,) = run(whole, range(1))
+    if net is None:
+        return None
+    thresholds, common = calibrated(scores[kept], sample.y[kept], [x for x, ok in zip(langs, kept.tolist(), strict=True) if ok])
     return Classifier(lexicon, net, thresholds, common)
 
 
+def in_tasks(spark: SparkSession) -> Callable:
+    """Runs a function for each number in a task of its own; the sample travels as one broadcast of bounded size."""
+
+    def run(f: Callable, numbers: range) -> list:
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(f))
+
+        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = pickle.loads(shared.value)
+            for batch in batches:
+                for k in batch["id"]:
+                    yield pd.DataFrame({"id": [k], "result": [pickle.dumps(own(int(k)))]})
+
+        rows = spark.range(len(numbers)).repartition(len(numbers), "id").mapInPandas(one, "id long, result binary").collect()
+        return [pickle.loads(r.result) for r in sorted(rows, key=lambda r: r.id)]
+
+    return run
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> pd.DataFrame:
     """text, lang and mean rating of at most ``limit`` labelled documents, in an order that depends on their ids alone."""
     rated = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.avg("toxic").alias("rating"))
@@ -313,7 +424,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_
 def score_documents(documents: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, source, lang, score (0 to 1) and flagged of every document."""
     sample = labelled_sample(documents, labels, limit)
-    model = train(sample["text"].tolist(), sample["lang"].tolist(), sample["rating"].tolist()) if len(sample) else None
+    model = train(sample["text"].tolist(), sample["lang"].tolist(), sample["rating"].tolist(), in_tasks(documents.sparkSession)) if len(sample) else None
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
