@@ -3,8 +3,9 @@
 A naive Bayes model over passages (sentences and headings outside of code) learns from positive and unlabelled records by
 expectation-maximization. Trusted records: reviewed ones with a drop rule of these kinds are positive, other reviewed
 ones negative, the rest unlabelled. In each round every unlabelled passage counts by its current probability; in a
-positive record its most likely passage counts fully and the others count as sound (headings and sentences around it). Counts are sums over all rows, in a hashed feature space
-of fixed size; only these sums reach the driver. A record is a case if one of its passages is.
+positive record its most likely passage counts fully and the others count as sound (headings and sentences around it). Counts are sums over all
+rows, in a hashed feature space of fixed size, added in shuffles; only these sums reach the driver. A record is a case if
+one of its passages is.
 
 Features are words, pairs of neighbouring words, and the shapes of unfilled placeholders; names and numbers are masked.
 Code (fenced or inline) and page furniture are left out, so texts about such things and plain menus are no cases.
@@ -153,32 +154,75 @@ def passages(text: str | None) -> list[str]:
     return out or headings
 
 
-def features(passage: str) -> list[int]:
-    """Hashed distinct features of a passage."""
-    shout = passage.isupper()
-    words = []
-    for k, w in enumerate(TOKENS.findall(passage)):
-        if w[0] == "@":
-            words.append(w)
-        elif w[0].isdigit() and not HEX.match(w):
-            words.append("#status" if len(w) == 3 and w[0] in "45" and w.isdigit() else "#n")
-        elif HEX.match(w.lower()):
-            words.append("#hex")
-        elif k and w[0].isupper() and not shout and not w.isupper():
-            words.append("#name:" + w.lower() if len(w) > 3 and w in KNOWN_CAPITALS else "#name")
-        else:
-            words.append(w.lower())
-    found = set(words)
-    found.update(f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True))
-    if passage[-1:] not in ".!?…:;":
-        found.add("@open")
-    if len(words) <= 3:
-        found.add("@short")
-    return sorted({xxhash.xxh32_intdigest(f) % BUCKETS for f in found})
-
-
-#: Capitalised words that tell such notices apart from names.
-KNOWN_CAPITALS = frozenset("JavaScript Javascript Cookies Browser Seite Dienst Fehler Zugriff Vorgang Found Forbidden Error Gateway Service Unavailable Request Timeout Server Internal Lorem Ipsum Platzhaltertext Text Fülltext Inhalt Zeilen Bitte Skripte".split())
+def is_capital(w: str, position: int, shout: bool) -> bool:
+    """Whether a token looks like a name where it stands."""
+    return position > 0 and w[0].isupper() and not shout and not w.isupper()
+
+
+def masked(w: str, position: int, shout: bool, capitals: frozenset[str]) -> str:
+    """The form of a token: numbers and names are masked, but not the capitalised words that such notices use."""
+    if w[0] == "@":
+        return w
+    if HEX.match(w.lower()):
+        return "#hex"
+    if w[0].isdigit():
+        return "#status" if len(w) == 3 and w[0] in "45" and w.isdigit() else "#n"
+    if is_capital(w, position, shout):
+        return "#name:" + w.lower() if w.lower() in capitals else "#name"
+    return w.lower()
+
+
+class Features:
+    """Hashed distinct features of passages; forms of tokens and hashes are remembered (bounded)."""
+
+    def __init__(self, capitals: frozenset[str] = frozenset(), limit: int = 400_000):
+        self.capitals, self.limit = capitals, limit
+        self.first: dict[str, str] = {}
+        self.later: dict[str, str] = {}
+        self.hashes: dict[str, int] = {}
+
+    def __call__(self, passage: str) -> list[int]:
+        if len(self.hashes) + len(self.first) + len(self.later) > self.limit:
+            for x in (self.hashes, self.first, self.later):
+                x.clear()
+        shout = passage.isupper()
+        words, known = [], self.first
+        later = self.first if shout else self.later  # in a shouted passage no word is a name
+        for w in TOKENS.findall(passage):
+            form = known.get(w)
+            if form is None:
+                form = known[w] = masked(w, int(known is not self.first), shout, self.capitals)
+            words.append(form)
+            known = later
+        found = set(words)
+        found.update([f"{a} {b}" for a, b in zip(["^", *words], [*words, "$"], strict=True)])
+        if passage[-1:] not in ".!?…:;":
+            found.add("@open")
+        if len(words) <= 3:
+            found.add("@short")
+        out, hashes = set(), self.hashes
+        for f in found:
+            h = hashes.get(f)
+            if h is None:
+                h = hashes[f] = xxhash.xxh32_intdigest(f) % BUCKETS
+            out.add(h)
+        return sorted(out)
+
+
+def learn_capitals(positives: DataFrame, text_col: str) -> frozenset[str]:
+    """Capitalised words inside passages of at least three and of one in a hundred trusted records: names recur less.
+
+    So many words that a record has a hundred of them at most reach the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [{w.lower() for p in passages(t) for k, w in enumerate(TOKENS.findall(p)) if len(w) > 3 and w[0] != "@" and is_capital(w, k, p.isupper())} for t in batch["text"]]
+            yield pd.DataFrame({"word": pd.Series([w for x in found for w in x], dtype="object")})
+
+    texts = positives.select(F.col(text_col).alias("text"))
+    least = max(3, texts.count() // 100)
+    return frozenset(r.word for r in texts.mapInPandas(run, "word string").groupBy("word").count().filter(F.col("count") >= least).collect())
 
 
 def _score(lists: list, model: np.ndarray, prior: float) -> np.ndarray:
@@ -237,11 +281,13 @@ def log_odds(pos: np.ndarray, neg: np.ndarray, a: float, b: float) -> tuple[np.n
     return np.clip(model, -CAP, CAP).astype(np.float32), prior
 
 
-def train(evidence: DataFrame, text_col: str = "text", rule_col: str = "expected_drop_rule", reviewed_col: str = "agent_useful", rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
-    """The model (weight per hashed feature, prior) learnt from all rows."""
+def train(evidence: DataFrame, text_col: str = "text", rule_col: str = "expected_drop_rule", reviewed_col: str = "agent_useful", rounds: int = ROUNDS) -> tuple[np.ndarray, float, frozenset[str]]:
+    """The model (weight per hashed feature, prior, capitalised words of notices) learnt from all rows."""
+    capitals = learn_capitals(evidence.filter(F.col(rule_col).isin(*RULES) & F.col(text_col).isNotNull()), text_col)
     label = F.when(F.col(rule_col).isin(*RULES), 1).when(F.col(reviewed_col).isNotNull(), 0).otherwise(-1)
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = Features(capitals)
         for batch in batches:
             yield pd.DataFrame({"label": batch["label"], "lists": [[features(p) for p in passages(t)] for t in batch["text"]]})
 
@@ -250,16 +296,16 @@ def train(evidence: DataFrame, text_col: str = "text", rule_col: str = "expected
     for _ in range(rounds):
         pos, neg, a, b = _sum_counts(prepared, model, prior)
         if a == 0:
-            return np.zeros(BUCKETS, dtype=np.float32), -30.0
+            return np.zeros(BUCKETS, dtype=np.float32), -30.0, capitals
         model, prior = log_odds(pos, neg, a, b)
-    return model, prior
+    return model, prior, capitals
 
 
 class Scorer:
     """Score of a text's most likely passage and that passage. Scores of passages are remembered (bounded), as many recur."""
 
-    def __init__(self, model: np.ndarray, prior: float, limit: int = 200_000):
-        self.model, self.prior, self.limit = model, prior, limit
+    def __init__(self, model: np.ndarray, prior: float, capitals: frozenset[str] = frozenset(), limit: int = 200_000):
+        self.model, self.prior, self.features, self.limit = model, prior, Features(capitals), limit
         self.known: dict[str, float] = {}
 
     def __call__(self, text: str | None) -> tuple[float, str | None]:
@@ -269,15 +315,15 @@ class Scorer:
         for p in passages(text):
             s = self.known.get(p)
             if s is None:
-                s = self.known[p] = self.prior + float(self.model[features(p)].sum())
+                s = self.known[p] = self.prior + float(self.model[self.features(p)].sum())
             if s > top:
                 top, own = s, p
         return top, own
 
 
-def case_test(spark: SparkSession, model: np.ndarray, prior: float, border: float = BORDER) -> Callable[[], Callable[[str], bool]]:
+def case_test(spark: SparkSession, model: np.ndarray, prior: float, capitals: frozenset[str], border: float = BORDER) -> Callable[[], Callable[[str], bool]]:
     """What makes, in a task, the test whether a text is a case."""
-    shared = spark.sparkContext.broadcast((model, prior))
+    shared = spark.sparkContext.broadcast((model, prior, capitals))
 
     def make() -> Callable[[str], bool]:
         score = Scorer(*shared.value)
@@ -286,9 +332,9 @@ def case_test(spark: SparkSession, model: np.ndarray, prior: float, border: floa
     return make
 
 
-def score_records(df: DataFrame, key_cols: list[str], text_col: str, model: np.ndarray, prior: float) -> DataFrame:
+def score_records(df: DataFrame, key_cols: list[str], text_col: str, model: np.ndarray, prior: float, capitals: frozenset[str]) -> DataFrame:
     """Key columns, ``score`` (log-odds of the most likely passage) and that passage, for records with any passage."""
-    shared = df.sparkSession.sparkContext.broadcast((model, prior))
+    shared = df.sparkSession.sparkContext.broadcast((model, prior, capitals))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(*shared.value)
@@ -302,5 +348,5 @@ def score_records(df: DataFrame, key_cols: list[str], text_col: str, model: np.n
     return df.select(*key_cols, F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
-def residue_cases(df: DataFrame, key_cols: list[str], text_col: str, model: np.ndarray, prior: float, border: float = BORDER) -> DataFrame:
-    return score_records(df, key_cols, text_col, model, prior).filter(F.col("score") > border).select(*key_cols)
+def residue_cases(df: DataFrame, key_cols: list[str], text_col: str, model: np.ndarray, prior: float, capitals: frozenset[str], border: float = BORDER) -> DataFrame:
+    return score_records(df, key_cols, text_col, model, prior, capitals).filter(F.col("score") > border).select(*key_cols)
