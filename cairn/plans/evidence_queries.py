@@ -362,7 +362,10 @@ def citation_groups(t):
     return ranking.citations(p, "grp", ranking.citation_key_of(F.col("document_id"), F.col("source_url")))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT document_id, passage_id, strlen(text)::INT AS n_bytes, row_number() OVER (PARTITION BY document_id ORDER BY -coalesce(score, 0), source_url NULLS FIRST, passage_id) AS k FROM passages WHERE document_id IS NOT NULL AND text IS NOT NULL AND strlen(text) <= 65536),
+  r AS (SELECT document_id, k, passage_id, n_bytes, n_bytes <= 1500 AS kept, CASE WHEN n_bytes <= 1500 THEN n_bytes ELSE 0 END AS used FROM o WHERE k = 1
+    UNION ALL SELECT o.document_id, o.k, o.passage_id, o.n_bytes, r.used + o.n_bytes <= 1500, CASE WHEN r.used + o.n_bytes <= 1500 THEN r.used + o.n_bytes ELSE r.used END FROM r JOIN o ON o.document_id = r.document_id AND o.k = r.k + 1)
+  SELECT document_id, passage_id, n_bytes FROM r WHERE kept""")
 def byte_envelope(t):
     p = t.passages.filter("document_id IS NOT NULL AND text IS NOT NULL").withColumn("n_bytes", F.octet_length("text")).withColumn("neg", -F.coalesce("score", F.lit(0.0)))
     return ranking.byte_envelope(p.select("document_id", "passage_id", "neg", "source_url", "n_bytes"), "document_id", ["neg", "source_url", "passage_id"], "n_bytes", 65_536, 1_500).select("document_id", "passage_id", "n_bytes")
