@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 20_000
 BUCKETS, DIM, FILTERS, WIDTHS, WINDOW = 1 << 14, 24, 32, (1, 2, 3), 32
 UNKNOWN, NAME, NUMBER, EDGE = 1, 2, 3, 4
-STAGES, POSITIVES, EASY, FOLDS, DOUBT = 3, 1500, 5000, 3, 1.0
+STAGES, POSITIVES, EASY, FOLDS, DOUBT = 3, 1500, 5000, 3, (3.5, 1.0)
 MIN_LANG = 60  # labelled documents a language needs for its own threshold
 
 #: Cyrillic and Greek letters that look like Latin ones.
@@ -262,13 +262,19 @@ class Classifier:
         return self.thresholds.get(lang or "", self.common)
 
 
-def best_threshold(scores: np.ndarray, y: np.ndarray) -> float:
-    """Middle of the gap at the threshold with the highest F1."""
-    order = np.argsort(-scores)
+def best_threshold(scores: np.ndarray, y: np.ndarray, slack: float = 0.004) -> float:
+    """Middle of the range of thresholds around the highest F1 whose F1 is within ``slack`` of it."""
+    order = np.argsort(-scores, kind="stable")
     s, hit = scores[order], np.cumsum(y[order])
     f1 = 2 * hit / (np.arange(1, len(s) + 1) + y.sum())
-    k = int(f1.argmax())
-    return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] - 1e-3)
+    best = int(f1.argmax())
+    low = high = best
+    while low > 0 and f1[low - 1] >= f1[best] - slack:
+        low -= 1
+    while high + 1 < len(s) and f1[high + 1] >= f1[best] - slack:
+        high += 1
+    below = s[high + 1] if high + 1 < len(s) else s[high] - 2e-3
+    return float((s[low] + below) / 2)
 
 
 @dataclass
@@ -335,11 +341,11 @@ def fit(sample: Sample, seed: int = 7) -> Network | None:
 def trusted(sample: Sample, held_out: np.ndarray) -> np.ndarray:
     """Mask of the documents whose label the models trained without them do not contradict.
 
-    The border is the one with the highest F1 on the held-out scores; toxic documents well below it and clean ones above
-    it are taken for errors of their raters.
+    The border is the one with the highest F1 on the held-out scores; toxic documents far below it, where plain texts are,
+    and clean ones above it are taken for errors of their raters. Toxic ones in between may be of a rare kind and stay.
     """
     border = best_threshold(held_out, sample.y)
-    return np.where(sample.y > 0, held_out > border - DOUBT, held_out <= border + DOUBT)
+    return np.where(sample.y > 0, held_out > border - DOUBT[0], held_out <= border + DOUBT[1])
 
 
 def calibrated(held_out: np.ndarray, y: np.ndarray, langs: list[str | None]) -> tuple[dict[str, float], float]:
