@@ -1,17 +1,20 @@
 """Mixed timestamp texts brought to one UTC instant.
 
 ``interpretations`` lists every valid reading of a text (order of day and month, epoch unit, zone). ``normalise`` chooses
-one per row by Viterbi over the record order of each source: readings that contradict what is known of the source cost
-most, a switch of format and a jump back in time cost a little. The sequence holds the rows whose format has an order of
-day and month (a row that allows one order only still shows which one its source uses); other rows have one reading. Sources are decoded in blocks of consecutive row ids:
-each block gives its matrix of least costs between the readings of its first and last row, the few block matrices of a
-source are decoded in order, then each block is decoded between the two readings chosen for it. The result equals one
-pass over the whole source, and no task holds more than one block.
+one per row by Viterbi over the record order of each source. The sequence of a source holds all its rows that have a
+reading, in whatever format: a switch of format and a jump back in time between two neighbours cost a little, a reading
+that contradicts what is known of the source costs most. Rows in a format without an order of day and month (ISO, month
+names, epochs) carry the last order on, so that taking up the other order after them is a switch as well. A reading against
+the usual order of its source, that of most rows which allow one order only, costs as much as a switch.
+
+Sources are decoded in blocks of consecutive row ids: each block gives its matrix of least costs between the states of
+its first and last row, the few block matrices of a source are decoded in order, then each block is decoded between the
+two states chosen for it. The result equals one pass over the whole source, and no task holds more than one block.
 
 Defined results: null, empty, relative and impossible texts have no reading and give null; a wall clock in a skipped or
 repeated hour has none; without a zone in the text and with an unknown zone of the source a wall clock has none; a date
 alone is midnight UTC; digits alone count from 1970 (seconds, milli-, micro- or nanoseconds by their number); digits
-finer than microseconds are cut off; equal costs go to the earlier instant.
+finer than microseconds are cut off; of sequences of equal cost the one with most earlier instants counts.
 """
 
 from __future__ import annotations
@@ -24,18 +27,21 @@ from zoneinfo import ZoneInfo
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from cairn.session import checkpoint
 from cairn.text import WHITE
 
 READING = T.StructType([T.StructField("micros", T.LongType()), T.StructField("fmt", T.StringType()), T.StructField("cost", T.IntegerType())])
 CONTRADICTS = 1000  # a reading against the known date order of its source
-SWITCH, BACKWARD = 2, 1
+SWITCH, BACKWARD, UNUSUAL = 2, 1, 2
 ORDERS = ("dmy", "mdy")  # formats that differ in the order of day and month only
 BLOCK_ROWS = 1 << 16
+TIE, NEVER = 1 << 32, float("inf")  # what a unit of cost weighs against one later instant; the cost of what cannot be
 
 #: Month names in English, German, French and Spanish, cut to what tells them apart.
 MONTHS = {
@@ -200,115 +206,143 @@ def with_readings(df: DataFrame, text_col: str, zone_col: str, order_col: str, o
     return df.withColumn(out, read(text_col, zone_col, order_col))
 
 
-def _step(prev: list, cur: list) -> np.ndarray:
-    """Costs of going from each reading of a row to each of the next."""
-    out = np.empty((len(prev), len(cur)))
-    for i, p in enumerate(prev):
-        for j, c in enumerate(cur):
-            out[i, j] = SWITCH * (p["fmt"] != c["fmt"]) + BACKWARD * (c["micros"] < p["micros"]) + c["cost"]
+def _states(row: list, usual: str | None, scale: int) -> list[tuple[int, int, str, str, int]]:
+    """(number, micros, format, order, own cost) of the readings of a row; one without an order of its own carries either."""
+    out = []
+    for k, r in enumerate(row):
+        fmt = r["fmt"]
+        own = r["cost"] * scale + (k if scale > 1 else 0)
+        if fmt in ORDERS:
+            out.append((k, r["micros"], fmt, fmt, own + (UNUSUAL * scale if usual is not None and usual != fmt else 0)))
+        else:
+            out.extend((k, r["micros"], fmt, order, own) for order in ORDERS)
     return out
 
 
-def block_matrix(rows: list) -> np.ndarray:
-    """Least cost from each reading of the first row to each of the last, both rows' own costs included."""
-    first = np.full((len(rows[0]), len(rows[0])), np.inf)
-    for i, r in enumerate(rows[0]):
-        first[i, i] = r["cost"]
-    cost = first
-    for prev, cur in zip(rows, rows[1:], strict=False):
-        cost = (cost[:, :, None] + _step(prev, cur)[None, :, :]).min(axis=1)
-    return cost
-
-
-def decode_block(rows: list, start: int | None = None, end: int | None = None) -> list[int]:
-    """Viterbi over one block, with the readings of its ends fixed where given; ties go to the earlier reading."""
-    cost = np.array([r["cost"] for r in rows[0]], dtype=float)
-    if start is not None:
-        cost[[i for i in range(len(cost)) if i != start]] = np.inf
-    back = []
-    for prev, cur in zip(rows, rows[1:], strict=False):
-        total = cost[:, None] + _step(prev, cur)
-        back.append(total.argmin(axis=0))
-        cost = total.min(axis=0)
-    at = int(cost.argmin()) if end is None else end
+def _advance(cost: list, prev: list, cur: list, scale: int) -> tuple[list, list[int]]:
+    """Least cost of each state without its own, and the state of the row before that gives it."""
+    if len(prev) == len(cur) == 2 and prev[1][0] == cur[1][0] == 0:  # one reading each, which carries the order on
+        step = scale * (SWITCH * (prev[0][2] != cur[0][2]) + BACKWARD * (cur[0][1] < prev[0][1]))
+        return [cost[0] + step, cost[1] + step], [0, 1]
+    least, back = [], []
+    for _, micros, fmt, order, _ in cur:
+        best, at = NEVER, 0
+        for i, (_, p_micros, p_fmt, p_order, _) in enumerate(prev):
+            turn = 0
+            if p_order != order:
+                if fmt != order:  # carried, so it does not change here
+                    continue
+                turn = SWITCH * (p_fmt != p_order)  # between two rows with an order the formats tell
+            total = cost[i] + scale * (turn + SWITCH * (p_fmt != fmt) + BACKWARD * (micros < p_micros))
+            if total < best:
+                best, at = total, i
+        least.append(best)
+        back.append(at)
+    return least, back
+
+
+def _with_own(least: list, states: list) -> list:
+    return [a + s[4] for a, s in zip(least, states, strict=True)]
+
+
+def block_matrix(rows: list, usual: str | None = None, scale: int = 1) -> np.ndarray:
+    """Least cost from each state of the first row to each of the last, both rows' own costs included."""
+    prev = _states(rows[0], usual, scale)
+    costs = [[s[4] if i == k else NEVER for k, s in enumerate(prev)] for i in range(len(prev))]
+    for row in rows[1:]:
+        cur = _states(row, usual, scale)
+        costs = [_with_own(_advance(cost, prev, cur, scale)[0], cur) for cost in costs]
+        prev = cur
+    return np.array(costs, dtype=object)
+
+
+def decode_block(rows: list, start: int | None = None, end: int | None = None, usual: str | None = None) -> list[int]:
+    """The reading of each row by Viterbi over one block, with the states of its ends fixed where given."""
+    prev = _states(rows[0], usual, TIE)
+    cost = [s[4] if start is None or k == start else NEVER for k, s in enumerate(prev)]
+    numbers, back = [[s[0] for s in prev]], []
+    for row in rows[1:]:
+        cur = _states(row, usual, TIE)
+        least, at = _advance(cost, prev, cur, TIE)
+        cost, prev = _with_own(least, cur), cur
+        numbers.append([s[0] for s in cur])
+        back.append(at)
+    at = cost.index(min(cost)) if end is None else end
     path = [at]
     for b in reversed(back):
-        at = int(b[at])
+        at = b[at]
         path.append(at)
-    return path[::-1]
+    return [n[k] for n, k in zip(numbers, reversed(path), strict=True)]
+
 
+def _with_usual(marked: DataFrame, source_cols: list[str], readings: str) -> DataFrame:
+    """Adds ``_usual``: the order of most rows of the source that allow one order only (null where there is none)."""
+    only = marked.filter((F.size(readings) == 1) & F.col(readings)[0]["fmt"].isin(*ORDERS)).select(*source_cols, F.col(readings)[0]["fmt"].alias("_fmt"))
+    lead = F.sum(F.when(F.col("_fmt") == ORDERS[0], 1).otherwise(-1))
+    usual = only.groupBy(*source_cols).agg(F.when(lead > 0, ORDERS[0]).when(lead < 0, ORDERS[1]).alias("_usual"))
+    return marked.join(usual, source_cols, "left")
 
-def normalise(df: DataFrame, source_cols: list[str], id_col: str, readings: str = "readings", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Chooses one reading per row that has any; adds ``chosen`` (a reading) and drops rows without readings.
+
+def normalise(df: DataFrame, source_cols: list[str], id_col: str, readings: str = "readings", block_rows: int = BLOCK_ROWS, usual: bool = False) -> DataFrame:
+    """Chooses one reading per row that has any; adds ``chosen`` (a reading) and ``n_readings``, drops rows without readings.
 
     ``df`` needs the source columns, a bigint ``id_col`` giving the record order, and ``readings``. Rows of equal id are
-    ordered by their readings.
+    ordered by their readings. ``usual`` weighs the usual order of each source.
     """
     keys = [*source_cols, "_block"]
-    several = F.size(readings) > 1
-    ordered_format = F.exists(readings, lambda r: r["fmt"].isin(*ORDERS))
-    marked = (
-        df.filter(F.size(readings) > 0)
-        .select(*source_cols, id_col, readings)
-        .withColumn("_block", F.floor(F.col(id_col) / block_rows))
-        .withColumn("_near", several | ordered_format)
-    )
-    marked = checkpoint(marked)
-    # Only rows in a format with an order of its own tell anything about the order of others: they are the sequence.
-    open_sources = marked.filter(several).select(*source_cols).distinct()
-    rows = marked.filter("_near").drop("_near").join(open_sources, source_cols, "left_semi")
-    decided = marked.filter(~several).select(*source_cols, id_col, F.col(readings)[0].alias("chosen"), F.lit(1).alias("n_readings"))
+    rows = checkpoint(df.filter(F.size(readings) > 0).select(*source_cols, id_col, readings).withColumn("_block", F.floor(F.col(id_col) / block_rows)))
+    rows = _with_usual(rows, source_cols, readings) if usual else rows.withColumn("_usual", F.lit(None).cast("string"))
     key_fields = [rows.schema[c] for c in keys]
-    matrix_schema = T.StructType([*key_fields, T.StructField("first", T.ArrayType(READING)), T.StructField("last", T.ArrayType(READING)), T.StructField("cost", T.ArrayType(T.ArrayType(T.DoubleType())))])
+    summary = [T.StructField("_usual", T.StringType()), T.StructField("first", T.ArrayType(READING)), T.StructField("last", T.ArrayType(READING)), T.StructField("cost", T.ArrayType(T.ArrayType(T.LongType())))]
+    matrix_schema = T.StructType([*key_fields, *summary])
     ends_schema = T.StructType([*key_fields, T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out_schema = T.StructType([*[rows.schema[c] for c in source_cols], rows.schema[id_col], T.StructField("chosen", READING), T.StructField("n_readings", T.IntegerType())])
 
-    def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_tie=[tuple((r["micros"], r["fmt"]) for r in x) for x in pdf[readings]])
-        return pdf.sort_values([id_col, "_tie"], kind="stable")
-
-    def to_matrix(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        seq = [list(x) for x in ordered(pdf)[readings]]
-        return pd.DataFrame([[*key, seq[0], seq[-1], block_matrix(seq).tolist()]], columns=[f.name for f in matrix_schema])
-
-    def to_ends(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block", kind="stable")
-        costs, back, prev_last, total = [np.array([list(r) for r in c]) for c in pdf["cost"]], [], None, None
-        for first, last, cost in zip(pdf["first"], pdf["last"], costs, strict=True):
-            if total is None:
-                entry = np.zeros(len(first))
-                back.append(None)
-            else:
-                step = total[:, None] + _step(list(prev_last), list(first)) - np.array([r["cost"] for r in first])[None, :]
-                back.append(step.argmin(axis=0))
-                entry = step.min(axis=0)
-            through = entry[:, None] + cost
-            back[-1] = (back[-1], through.argmin(axis=0))
-            total, prev_last = through.min(axis=0), last
-        ends, at = [], int(total.argmin())
+    def ordered(table: pa.Table) -> tuple[list[int], list, np.ndarray, pa.StructArray]:
+        """Ids and readings in record order, and where the readings of each row begin among those of all rows."""
+        ids, lists = table.column(id_col).to_pylist(), table.column(readings).combine_chunks()
+        flat, sizes = lists.flatten(), lists.value_lengths().to_numpy()
+        parts = zip(*(flat.field(f.name).to_pylist() for f in READING), strict=True)
+        dicts = [{"micros": a, "fmt": b, "cost": c} for a, b, c in parts]
+        stops = np.cumsum(sizes)
+        seq = [dicts[i:j] for i, j in zip((stops - sizes).tolist(), stops.tolist(), strict=True)]
+        at = sorted(range(len(ids)), key=lambda k: (ids[k], [(r["micros"], r["fmt"]) for r in seq[k]]))
+        return [ids[k] for k in at], [seq[k] for k in at], (stops - sizes)[at], flat
+
+    def table_of(schema: T.StructType, columns: list[list]) -> pa.Table:
+        fields = to_arrow_schema(schema)
+        return pa.Table.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+    def to_matrix(key: tuple, table: pa.Table) -> pa.Table:
+        (_, seq, _, _), order = ordered(table), table.column("_usual")[0].as_py()
+        values = [*(k.as_py() for k in key), order, seq[0], seq[-1], [[None if c == NEVER else c for c in costs] for costs in block_matrix(seq, order, TIE)]]
+        return table_of(matrix_schema, [[v] for v in values])
+
+    def to_ends(key: tuple, table: pa.Table) -> pa.Table:
+        blocks = sorted(table.to_pylist(), key=lambda b: b["_block"])
+        total, prev, back = [], [], []
+        for b in blocks:
+            first, last = _states(b["first"], b["_usual"], TIE), _states(b["last"], b["_usual"], TIE)
+            entry, before = _advance(total, prev, first, TIE) if prev else ([0] * len(first), [0] * len(first))
+            through = [[NEVER if row[k] is None else e + row[k] for e, row in zip(entry, b["cost"], strict=True)] for k in range(len(last))]
+            total, prev = [min(t) for t in through], last
+            back.append((before, [t.index(min(t)) for t in through]))
+        at, ends = total.index(min(total)), []
         for before, within in reversed(back):
-            start = int(within[at])
+            start = within[at]
             ends.append((start, at))
-            at = int(before[start]) if before is not None else -1
-        out = pdf[keys].copy()
-        out["start"], out["end"] = zip(*reversed(ends), strict=True)
-        return out
-
-    def choose(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left):
-            return pd.DataFrame(columns=[f.name for f in out_schema])
-        pdf = ordered(left)
-        seq = [list(x) for x in pdf[readings]]
-        path = decode_block(seq, int(right["start"].iloc[0]), int(right["end"].iloc[0]))
-        open_rows = np.array([len(x) > 1 for x in seq])
-        pdf, seq, path = pdf[open_rows], [x for x in seq if len(x) > 1], [p for p, x in zip(path, seq, strict=True) if len(x) > 1]
-        out = pdf[[*source_cols, id_col]].copy()
-        out["chosen"] = pd.Series([s[k] for s, k in zip(seq, path, strict=True)], index=out.index, dtype="object")
-        out["n_readings"] = pd.Series([len({r["micros"] for r in s if r["cost"] == s[k]["cost"]}) for s, k in zip(seq, path, strict=True)], index=out.index, dtype="int32")
-        return out
-
-    ends = rows.groupBy(*keys).applyInPandas(to_matrix, matrix_schema).groupBy(*source_cols).applyInPandas(to_ends, ends_schema)
-    return decided.unionByName(rows.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInPandas(choose, out_schema))
+            at = before[start]
+        starts, stops = zip(*reversed(ends), strict=True)
+        return table_of(ends_schema, [*([b[k] for b in blocks] for k in keys), list(starts), list(stops)])
+
+    def choose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, seq, starts, flat = ordered(left)
+        path = decode_block(seq, right.column("start")[0].as_py(), right.column("end")[0].as_py(), left.column("_usual")[0].as_py())
+        alike = [1 if len(row) == 1 else len({r["micros"] for r in row if r["cost"] == row[k]["cost"]}) for row, k in zip(seq, path, strict=True)]
+        return table_of(out_schema, [*([k.as_py()] * len(ids) for k in key[:-1]), ids, flat.take(pa.array(starts + path)), alike])
+
+    ends = rows.groupBy(*keys).applyInArrow(to_matrix, matrix_schema).groupBy(*source_cols).applyInArrow(to_ends, ends_schema)
+    return rows.groupBy(*keys).cogroup(ends.groupBy(*keys)).applyInArrow(choose, out_schema)
 
 
 def utc_text(micros: F.Column) -> F.Column:
@@ -320,7 +354,7 @@ def chosen_readings(df: DataFrame, hosts: DataFrame, source_cols: list[str], id_
     """Source columns, id, ``chosen`` and ``n_readings`` (instants of the same cost) under what is known of the host."""
     known = hosts.groupBy(F.col("host").alias(host_col)).agg(F.max("time_zone").alias("_zone"), F.max("date_order").alias("_order"))
     joined = df.join(known, host_col, "left")
-    return normalise(with_readings(joined, text_col, "_zone", "_order"), source_cols, id_col)
+    return normalise(with_readings(joined, text_col, "_zone", "_order"), source_cols, id_col, usual=True)
 
 
 def unambiguous_instants(df: DataFrame, hosts: DataFrame, source_cols: list[str], id_col: str, text_col: str, host_col: str = "host") -> DataFrame:

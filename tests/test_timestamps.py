@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.operators import timestamps as ts
@@ -106,6 +107,52 @@ def test_resolved_by_neighbours(spark):
     assert [(r.row_id, r.utc[:10], r.n_readings) for r in ts.resolved_instants(*args).collect()] == [(2, "2024-03-05", 2)]
 
 
+def test_sequence_holds_all_formats(spark):
+    """Rows of other formats take part: their times decide between two orders, and they carry the order on."""
+    texts = ["2024-05-04T00:00:00Z", "06/05/2024", "2024-05-07T00:00:00Z", "2024-02-01", "25/02/2024", "2024-03-01", "05/03/2024", "2024-02-28", "25/03/2024"]
+    rows = spark.createDataFrame([("t" if k < 3 else "u", k, "h", x) for k, x in enumerate(texts)], "table_name string, row_id long, host string, time_text string")
+    hosts = spark.createDataFrame([("h", "UTC", None)], "host string, time_zone string, date_order string")
+    got = ts.resolved_instants(rows, hosts, ["table_name", "host"], "row_id", "time_text").collect()
+    assert {r.row_id: r.utc[:10] for r in got} == {1: "2024-05-06", 6: "2024-03-05"}
+    late = rows.filter("table_name = 't'").withColumn("time_text", F.regexp_replace("time_text", "2024-05", "2024-06"))
+    assert [r.utc[:10] for r in ts.resolved_instants(late, hosts, ["table_name", "host"], "row_id", "time_text").collect()] == ["2024-06-05"]
+
+
+def carried_cost(rows, path, usual):
+    total, last = 0, None
+    for k, (row, at) in enumerate(zip(rows, path, strict=True)):
+        r, before = row[at], rows[k - 1][path[k - 1]] if k else None
+        total += r["cost"] + ts.UNUSUAL * (r["fmt"] in ts.ORDERS and usual not in (None, r["fmt"]))
+        if before is not None:
+            total += ts.SWITCH * (before["fmt"] != r["fmt"]) + ts.BACKWARD * (r["micros"] < before["micros"])
+            total += ts.SWITCH * (r["fmt"] in ts.ORDERS and before["fmt"] not in ts.ORDERS and last not in (None, r["fmt"]))
+        last = r["fmt"] if r["fmt"] in ts.ORDERS else last
+    return total
+
+
+def test_carried_order_equals_brute_force():
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = [[{"micros": rng.randrange(50), "fmt": rng.choice([*ts.ORDERS, "iso", "mail"]), "cost": rng.randrange(2)} for _ in range(rng.randint(1, 3))] for _ in range(6)]
+        usual = rng.choice([None, *ts.ORDERS])
+        best = min(carried_cost(rows, p, usual) for p in itertools.product(*[range(len(r)) for r in rows]))
+        assert carried_cost(rows, ts.decode_block(rows, usual=usual), usual) == best == ts.block_matrix(rows, usual).min()
+
+
+def test_blocks_of_mixed_formats_equal_one_pass(spark):
+    rng = random.Random(7)
+    data = [("s", k, [(rng.randrange(300) + k, f, 0) for f in rng.choice([["iso"], ["mail"], ["dmy"], ["mdy"], ["dmy", "mdy"], ["dmy", "mdy"]])]) for k in range(120)]
+    schema = T.StructType([T.StructField("src", T.StringType()), T.StructField("id", T.LongType()), T.StructField("readings", T.ArrayType(ts.READING))])
+    df = spark.createDataFrame(data, schema)
+    single = [r[0][1] for _, _, r in data if len(r) == 1]
+    usual = "dmy" if single.count("dmy") > single.count("mdy") else "mdy" if single.count("mdy") > single.count("dmy") else None
+    rows = [[{"micros": a, "fmt": b, "cost": c} for a, b, c in r] for _, _, r in data]
+    for size in (5, 1000):
+        chosen = {r.id: r.chosen.asDict() for r in ts.normalise(df, ["src"], "id", block_rows=size, usual=True).collect()}
+        path = [rows[k].index(chosen[k]) for k in range(len(rows))]
+        assert carried_cost(rows, path, usual) == carried_cost(rows, ts.decode_block(rows, usual=usual), usual)
+
+
 def test_equal_day_and_month():
     for order in ("dmy", "mdy", "ymd", None):
         assert [r[2] for r in ts.interpretations("4/4/2021 7:10 AM", "America/New_York", order)] == [0]
