@@ -9,7 +9,9 @@ lines are content.
 The wording is learnt, without lists of phrases: pages that mark their furniture (``nav``, ``aside``, ``footer``, ``form``
 and the like, or a class named after such a part) and their article (``article``, ``main``) train a naive Bayes model of
 words, word pairs and line shapes; lines of other regions join by expectation-maximization. The model and the border
-come from at most ``TRAIN_PAGES`` pages with HTML (those of least id hash); every body is scored.
+come from the lines of all pages with HTML. These are parsed and encoded once; each round adds up counts of fixed size in
+shuffles, and the border is that of the counts of all ratios, taken to 1/``STEPS``. Chances count in 1/``GRAIN``, so sums
+are exact and the model does not depend on how the pages are spread over tasks.
 
 Defined results: null and blank bodies have no lines; line numbers count from 1 at every \\n; blank and purely structural
 lines never count; script, style, template and head text never counts; very long single lines are one line; malformed
@@ -19,19 +21,28 @@ of regions wording counts alike and the ratios alone decide.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cairn.llm.neardup import FAN, folded
+from cairn.session import checkpoint
+
 SIGMA, MIN_WORDS, TAG_WEIGHT, BASE = 0.5, 4, 0.2, 40.0
-TRAIN_PAGES, BUCKETS, ROUNDS, CAP, CLIP = 5_000, 1 << 18, 5, 4.0, 4.0
+BUCKETS, PART, ROUNDS, CAP, CLIP = 1 << 18, 1 << 16, 5, 4.0, 4.0
+GRAIN, STEPS = 1 << 16, 1 << 14
+CHUNK = 256  # pages encoded at a time; bounds the arrays, whatever the bodies' length
 SKIPPED = frozenset("script style noscript template head title svg iframe".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = frozenset("div article section main header ul ol table".split())
@@ -299,64 +310,133 @@ def smooth(values: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return total / np.convolve(np.concatenate([pad, np.ones(len(values)), pad]), kernel, mode="valid")
 
 
-def cluster_border(values: np.ndarray) -> float:
-    """Border between the two clusters of values (two means)."""
+def cluster_border(values: np.ndarray, counts: np.ndarray) -> float:
+    """Border between the two clusters of values that occur so often (two means)."""
     low, high = float(values.min()), float(values.max())
     for _ in range(50):
         mid = (low + high) / 2
         above = values > mid
         if high - low < 1e-9 or above.all() or not above.any():
             break
-        now = float(values[~above].mean()), float(values[above].mean())
+        now = float(np.average(values[~above], weights=counts[~above])), float(np.average(values[above], weights=counts[above]))
         if now == (low, high):
             break
         low, high = now
     return (low + high) / 2
 
 
-def fit(flat: np.ndarray, row: np.ndarray, regions: np.ndarray, amounts: np.ndarray, counts: list[int], rounds: int = ROUNDS) -> LineModel:
-    """Naive Bayes by expectation-maximization from lines of marked and unmarked regions."""
-    n = len(regions)
-    model = LineModel(np.zeros(BUCKETS, dtype=np.float32), 0.0, 0.0)
-    if (regions == ARTICLE).any() and (regions == FURNITURE).any():
-        for k in range(rounds):
-            chance = 1 / (1 + np.exp(-np.clip(model.log_odds(flat, row, n), -30, 30)))
-            chance[regions == ARTICLE], chance[regions == FURNITURE] = 1.0, 0.0
-            known = (regions != UNMARKED) | (k > 0)  # the first round knows the marked lines only
+def encode_pages(pages: DataFrame, key_cols: list[str], html_col: str) -> DataFrame:
+    """The lines of all pages as numbers, written once: ``keys`` of up to ``CHUNK`` pages and a blob of their arrays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = Encoder()
+        for whole in batches:
+            for at in range(0, len(whole), CHUNK):
+                batch = whole.iloc[at : at + CHUNK]
+                pages = [html_lines(body) for body in batch["_html"]]
+                lines = [x for page in pages for x in page]
+                if not lines:
+                    continue
+                flat, row = encode(lines)
+                arrays = flat.astype(np.int32), row.astype(np.int32), np.array([x.region for x in lines], dtype=np.int8), amounts_of(lines), np.array([x.no for x in lines], dtype=np.int32), np.array([len(x) for x in pages], dtype=np.int32)
+                yield pd.DataFrame({"keys": [batch[key_cols].to_dict("records")], "lines": [zlib.compress(pickle.dumps(arrays), 1)]})
+
+    schema = T.StructType([T.StructField("keys", T.ArrayType(T.StructType([pages.schema[c] for c in key_cols]))), T.StructField("lines", T.BinaryType())])
+    return checkpoint(pages.filter(F.length(F.trim(html_col)) > 0).select(*key_cols, F.col(html_col).alias("_html")).mapInPandas(run, schema))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    for batch in batches:
+        for blob in batch.column(0):
+            flat, row, *others = pickle.loads(zlib.decompress(blob.as_py()))
+            yield flat.astype(np.int64), row.astype(np.int64), *others
+
+
+def line_chances(odds: np.ndarray, regions: np.ndarray) -> np.ndarray:
+    """Probability of each line to be an article's, in whole parts of ``GRAIN``; marked lines are certain."""
+    chance = np.round(GRAIN / (1 + np.exp(-np.clip(odds, -30, 30)))) / GRAIN
+    chance[regions == ARTICLE], chance[regions == FURNITURE] = 1.0, 0.0
+    return chance
+
+
+def _sum_counts(encoded: DataFrame, model: LineModel, first: bool) -> tuple[np.ndarray, np.ndarray, float, float, float, float]:
+    """One round over all lines: feature counts of articles and of furniture; weight of articles, known, article and furniture lines."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, pos, neg, totals = shared.value, np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(4)
+        for flat, row, regions, *_ in _arrays(batches):
+            chance = line_chances(own.log_odds(flat, row, len(regions)), regions)
+            known = (regions != UNMARKED) | (not first)  # the first round knows the marked lines only
             used, weight = known[row], chance[row]
-            pos, neg = np.bincount(flat[used], weight[used], BUCKETS), np.bincount(flat[used], 1 - weight[used], BUCKETS)
-            share = float(np.clip(chance[known].mean(), 1e-6, 1 - 1e-6))
-            prior = float(np.log(share / (1 - share)))
-            model = LineModel(np.clip(np.log((pos + share) / (neg + 1 - share)) - prior, -CAP, CAP).astype(np.float32), prior, 0.0)
-    model.border = cluster_border(model.ratios(amounts, model.log_odds(flat, row, n), counts))
+            pos += np.bincount(flat[used], weight[used], BUCKETS)
+            neg += np.bincount(flat[used], 1 - weight[used], BUCKETS)
+            totals += chance[known].sum(), known.sum(), (regions == ARTICLE).sum(), (regions == FURNITURE).sum()
+        for part in range(BUCKETS // PART):
+            cut = slice(part * PART, (part + 1) * PART)
+            sums = zlib.compress(np.concatenate([pos[cut], neg[cut], totals if part == 0 else np.zeros(4)]).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([sums], pa.binary())], names=["part", "slot", "counts"])
+
+    parts, size = encoded.select("lines").mapInArrow(scan, "part int, slot int, counts binary"), 2 * PART + 4
+    pos, neg, totals = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(4)
+    for r in folded(folded(parts, ["part", "slot"], np.float64, size, np.add), ["part"], np.float64, size, np.add).collect():  # BUCKETS / PART rows
+        sums = np.frombuffer(zlib.decompress(r.counts), dtype=np.float64)
+        pos[r.part * PART : (r.part + 1) * PART], neg[r.part * PART : (r.part + 1) * PART] = sums[:PART], sums[PART : 2 * PART]
+        totals += sums[2 * PART :]
+    return pos, neg, *totals.tolist()
+
+
+def _count_ratios(encoded: DataFrame, model: LineModel) -> tuple[np.ndarray, np.ndarray]:
+    """The ratios of all lines to 1/``STEPS``, and how often each occurs. Their range bounds what the driver gets."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = shared.value, np.zeros(0, dtype=np.int64)
+        for flat, row, regions, amounts, _, counts in _arrays(batches):
+            ratios = own.ratios(amounts, own.log_odds(flat, row, len(regions)), counts[counts > 0].tolist())
+            more = np.bincount(np.round(ratios * STEPS).astype(np.int64), minlength=len(seen))
+            more[: len(seen)] += seen
+            seen = more
+        values = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(seen[values], pa.int64())], names=["value", "n"])
+
+    found = encoded.select("lines").mapInArrow(scan, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toPandas().sort_values("value")
+    return found["value"].to_numpy() / STEPS, found["n"].to_numpy()
+
+
+def fit(encoded: DataFrame, rounds: int = ROUNDS) -> LineModel:
+    """Naive Bayes by expectation-maximization from the marked and unmarked lines of all pages of ``encode_pages``."""
+    model = LineModel(np.zeros(BUCKETS, dtype=np.float32), 0.0, 0.0)
+    for k in range(rounds):
+        pos, neg, weight, known, articles, furniture = _sum_counts(encoded, model, k == 0)
+        if not articles or not furniture:
+            break
+        share = float(np.clip(weight / known, 1e-6, 1 - 1e-6))
+        prior = float(np.log(share / (1 - share)))
+        model = LineModel(np.clip(np.log((pos + share) / (neg + 1 - share)) - prior, -CAP, CAP).astype(np.float32), prior, 0.0)
+    values, counts = _count_ratios(encoded, model)
+    model.border = cluster_border(values, counts) if len(values) else float(np.log1p(BASE) / 2)
     return model
 
 
-def train(pages: DataFrame, id_col: str, html_col: str, limit: int = TRAIN_PAGES) -> LineModel:
-    """The model of at most ``limit`` pages. Executors turn the pages into numbers; the driver fits in numpy."""
-    sample = pages.filter(F.length(F.trim(html_col)) > 0).select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html"))
-    chosen = sample.select("_id").distinct().orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    rows = sample.join(F.broadcast(chosen), "_id", "left_semi").select("_html")
+def train(pages: DataFrame, id_col: str, html_col: str) -> LineModel:
+    """The model of all pages."""
+    return fit(encode_pages(pages, [id_col], html_col))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder()
+
+def encoded_lines(encoded: DataFrame, model: LineModel) -> DataFrame:
+    """Key columns and ``line_no`` of every article line of the pages of ``encode_pages``."""
+    shared, keys = encoded.sparkSession.sparkContext.broadcast(model), encoded.schema["keys"].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for batch in batches:
-            pages = [html_lines(body) for body in batch["_html"]]
-            lines = [x for page in pages for x in page]
-            flat, row = encode(lines) if lines else (np.empty(0, np.int64), np.empty(0, np.int64))
-            arrays = flat.astype(np.int32), row.astype(np.int32), np.array([x.region for x in lines], dtype=np.int32), amounts_of(lines).astype(np.float32), np.array([len(x) for x in pages if x], dtype=np.int32)
-            yield pd.DataFrame({name: [a.tobytes()] for name, a in zip(("flat", "row", "regions", "amounts", "counts"), arrays, strict=True)})
-
-    flat, row, regions, amounts, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.float32)], []
-    for part in rows.mapInPandas(run, "flat binary, row binary, regions binary, amounts binary, counts binary").collect():  # bounded by ``limit``
-        row.append(np.frombuffer(part["row"], dtype=np.int32).astype(np.int64) + sum(map(len, regions)))
-        flat.append(np.frombuffer(part["flat"], dtype=np.int32))
-        regions.append(np.frombuffer(part["regions"], dtype=np.int32))
-        amounts.append(np.frombuffer(part["amounts"], dtype=np.float32))
-        counts.extend(np.frombuffer(part["counts"], dtype=np.int32).tolist())
-    if sum(map(len, regions)) == 0:
-        return LineModel(np.zeros(BUCKETS, dtype=np.float32), 0.0, float(np.log1p(BASE) / 2))
-    return fit(np.concatenate(flat), np.concatenate(row), np.concatenate(regions), np.concatenate(amounts), counts)
+            for own_keys, (flat, row, regions, amounts, numbers, counts) in zip(batch.column(1), _arrays([batch]), strict=True):
+                keep = own.ratios(amounts, own.log_odds(flat, row, len(regions)), counts[counts > 0].tolist()) > own.border
+                of_line = own_keys.values.take(pa.array(np.repeat(np.arange(len(counts)), counts)[keep]))
+                yield pa.RecordBatch.from_arrays([*of_line.flatten(), pa.array(numbers[keep])], names=[*keys.names, "line_no"])
+
+    return encoded.select("lines", "keys").mapInArrow(run, T.StructType([*keys.fields, T.StructField("line_no", T.IntegerType())]))
 
 
 def batch_lines(bodies: list[str | None], html: bool, model: LineModel, encode: Encoder) -> list[list[int]]:
@@ -388,8 +468,8 @@ def extract_lines(df: DataFrame, key_cols: list[str], body_col: str, html: bool,
         own, encode = shared.value, Encoder()
         without = skip() if skip is not None else None
         for whole in batches:
-            for at in range(0, len(whole), 256):  # bounds the arrays, whatever the bodies' length
-                batch = whole.iloc[at : at + 256]
+            for at in range(0, len(whole), CHUNK):
+                batch = whole.iloc[at : at + CHUNK]
                 bodies = [None if x is None or without is not None and without(x) else x for x in batch["_body"]]
                 found = batch_lines(bodies, html, own, encode)
                 out = batch[key_cols].loc[batch.index.repeat([len(x) for x in found])].reset_index(drop=True)

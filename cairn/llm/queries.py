@@ -39,10 +39,10 @@ def _residue_bodies(spark: SparkSession, sf_dir: str, model: tuple) -> DataFrame
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the article in markdown, raw_html and crawl bodies; bodies that are residue (p5) have none."""
     pages = load_table(spark, sf_dir, "page_cache")
-    model = maincontent.train(pages, "record_id", "raw_html")
+    encoded = maincontent.encode_pages(pages, ["record_id"], "raw_html")
+    model = maincontent.fit(encoded)
     parts = []
-    for name, html in (("markdown", False), ("raw_html", True)):
-        lines = maincontent.extract_lines(pages, ["record_id"], name, html, model)
+    for name, lines in (("markdown", maincontent.extract_lines(pages, ["record_id"], "markdown", False, model)), ("raw_html", maincontent.encoded_lines(encoded, model))):
         parts.append(lines.select(F.lit(name).alias("field_name"), F.col("record_id").alias("row_id"), F.lit(0).alias("result_pos"), "line_no"))
     residue_test = residue.case_test(spark, *residue.train(load_table(spark, sf_dir, "evidence_quality")))
     lines = maincontent.extract_lines(crawl_bodies(load_table(spark, sf_dir, "crawl_results")), ["crawl_id", "result_pos"], "body", False, model, residue_test)

@@ -164,6 +164,29 @@ def test_clusters_and_wording_decide(spark, line_model):
     assert maincontent.train(spark.createDataFrame([], "id long, h string"), "id", "h").border > 0
 
 
+def test_model_of_all_pages(spark):
+    """Wording of any page is learnt, and the border is that of all lines, however many pages there are."""
+    order = [r.id for r in spark.range(6000).orderBy(F.xxhash64("id"), "id").collect()]
+    late = set(order[5500:])
+    page = "<article><p>The {} opened near the harbour last week.</p></article>\n<nav><a href='/x'>The {} of this site</a></nav>"
+    df = spark.createDataFrame([(k, page.format("quagga", "okapi") if k in late else page.format("bridge", "menu")) for k in range(6000)], "id long, h string")
+    model = maincontent.train(df, "id", "h")
+    weight = lambda w: model.weights[maincontent.Encoder._id(w)]
+    assert weight("quagga") > 1 and weight("okapi") < -1 and weight("bridge") > 1 and weight("menu") < -1
+
+
+def test_model_and_lines_of_encoded_pages(spark):
+    """The model does not depend on how pages are spread over tasks; encoded pages give the lines that their bodies give."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/page_cache.parquet").select("record_id", "raw_html")
+    models = []
+    for n in (1, 5):
+        encoded = maincontent.encode_pages(pages.repartition(n), ["record_id"], "raw_html")
+        models.append(maincontent.fit(encoded))
+        own = sorted(map(tuple, maincontent.encoded_lines(encoded, models[-1]).collect()))
+        assert own and own == sorted(map(tuple, maincontent.extract_lines(pages, ["record_id"], "raw_html", True, models[-1]).collect()))
+    assert (models[0].weights == models[1].weights).all() and models[0].border == models[1].border and models[0].prior == models[1].prior
+
+
 # -- residue -----------------------------------------------------------------------------------------------------------
 
 
