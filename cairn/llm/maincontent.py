@@ -228,32 +228,34 @@ def amounts_of(lines: list[Line]) -> np.ndarray:
 
 
 class Encoder:
-    """Hashed features of lines: words and word pairs with names and numbers masked, and the shape of the line."""
+    """Hashed features of lines: words, word pairs with names masked, and the shape of the line; numbers are masked in both.
+
+    A capitalised word counts as itself among the words: it may be a name, which hardly recurs, or a German noun or pronoun.
+    """
 
     SHAPES = 5
 
     def __init__(self, limit: int = 300_000):
-        self.first: dict[str, int] = {}
-        self.later: dict[str, int] = {}
+        self.first: dict[str, tuple[int, int]] = {}  # word -> (itself, its form in pairs)
+        self.later: dict[str, tuple[int, int]] = {}
+        self.shapes: dict[str, list[int]] = {}
         self.limit = limit
 
     @staticmethod
     def _id(feature: str) -> int:
         return xxhash.xxh32_intdigest(feature) & (BUCKETS - 1)
 
-    def _word(self, w: str, at_start: bool) -> int:
-        if w[0].isdigit():
-            w = "#n"
-        elif not at_start and w[0].isupper() and not w.isupper():
-            w = "#name"
-        return self._id(w.lower())
+    def _word(self, w: str, at_start: bool) -> tuple[int, int]:
+        own = self._id("#n" if w[0].isdigit() else w.lower())
+        return own, self._id("#name") if not at_start and w[0].isupper() and not w.isupper() else own
 
     def __call__(self, lines: list[Line]) -> tuple[np.ndarray, np.ndarray]:
         """(features, number of the line each belongs to)."""
-        first, later, words, shapes, counts = self.first, self.later, [], [], []
+        first, later, own, words, shapes, counts = self.first, self.later, [], [], [], []
         if len(first) + len(later) > self.limit:
             first.clear()
             later.clear()
+            self.shapes.clear()
         start, end = self._id("^"), self._id("$")
         for line in lines:
             words.append(start)
@@ -262,7 +264,8 @@ class Encoder:
                 h = known.get(w)
                 if h is None:
                     h = known[w] = self._word(w, known is first)
-                words.append(h)
+                own.append(h[0])
+                words.append(h[1])
                 known = later
                 n += 1
             words.append(end)
@@ -270,10 +273,10 @@ class Encoder:
             size, last = len(line.text), line.text[-1:]
             link = ("0" if not line.linked else "L" if line.linked > 0.6 * size else "l") + ("i" if line.inside else "") + ("o" if line.outside else "")
             key = f"\0{line.kind} {link} {'w' if last.isalnum() else last} {min(n // 3, 5)}"
-            found = later.get(key)
+            found = self.shapes.get(key)
             if found is None:
                 kind, link, last, size = key[1:].split(" ")
-                found = later[key] = [self._id(f) for f in (f"\0k{kind}", f"\0l{link}", f"\0e{last}", f"\0n{size}", f"\0{kind}{link}")]
+                found = self.shapes[key] = [self._id(f) for f in (f"\0k{kind}", f"\0l{link}", f"\0e{last}", f"\0n{size}", f"\0{kind}{link}")]
             shapes.extend(found)
         row = np.repeat(np.arange(len(lines)), counts)
         w = np.array(words, dtype=np.uint64)
@@ -282,7 +285,7 @@ class Encoder:
         ends = np.cumsum(counts)
         edge[ends - 1] = edge[ends - counts] = True
         inner = row[:-1] == row[1:]
-        return np.concatenate([w[~edge], pairs[inner], np.array(shapes, dtype=np.uint64)]).astype(np.int64), np.concatenate([row[~edge], row[:-1][inner], np.repeat(np.arange(len(lines)), self.SHAPES)])
+        return np.concatenate([np.array(own, dtype=np.uint64), pairs[inner], np.array(shapes, dtype=np.uint64)]).astype(np.int64), np.concatenate([row[~edge], row[:-1][inner], np.repeat(np.arange(len(lines)), self.SHAPES)])
 
 
 class LineModel:

@@ -175,6 +175,13 @@ def test_model_of_all_pages(spark):
     assert weight("quagga") > 1 and weight("okapi") < -1 and weight("bridge") > 1 and weight("menu") < -1
 
 
+def test_capitalised_words_tell_apart():
+    """Capitalised words count as themselves, so notices in German differ from reports; pairs mask them as names."""
+    encode = maincontent.Encoder()
+    one, two = (set(encode([maincontent.Line(1, f"Wir nutzen {w} auf der Seite.", "plain", 0, 0, 0, 0, 0)])[0].tolist()) for w in ("Cookies", "Karten"))
+    assert one ^ two == {encode._id("cookies"), encode._id("karten")}
+
+
 def test_model_and_lines_of_encoded_pages(spark):
     """The model does not depend on how pages are spread over tasks; encoded pages give the lines that their bodies give."""
     pages = spark.read.parquet("/root/testdata/sf0.001/page_cache.parquet").select("record_id", "raw_html")
